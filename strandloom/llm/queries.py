@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, quality, token_counts
+from . import decontaminate, language_id, ngram_join, packing, quality, token_counts
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -60,5 +64,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_token_counts, op8_language_id, op9_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_packing, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
