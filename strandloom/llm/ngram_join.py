@@ -394,3 +394,10 @@ def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
     least = whole.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = whole.join(least, "root", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, all columns: the one with the smallest id. Rows without an id stay, as groups can't refer to them; of rows that share an id one stays."""
+    kept = groups(docs.select(id_col, text_col), rule, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return named.unionAll(docs.filter(F.col(id_col).isNull()))

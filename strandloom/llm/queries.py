@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, ngram_join, packing, quality, token_counts
+from . import decontaminate, language_id, license_scan, ngram_join, packing, pii, quality, secret_scan, token_counts, toxicity
 from .common import table
 
 
@@ -16,16 +16,44 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The key of the queries; a real run takes one from its own secrets.
+PII_KEY = "an example key"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask(table(spark, sf_dir, "documents"), PII_KEY, count_col="n_pii").select("doc_id", "text", "n_pii")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return out.select(*first, "lang", "n_marks", "n_lines")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secret_scan.train(secret_scan.labelled(secret_scan.ordinary_words(docs)))
+    out = secret_scan.scan(docs, model)
+    base = "filter(spans, x -> x.kind <> 'random')"
+    named = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+    count = "CAST(size(filter(spans, x -> x.kind = '{0}')) AS BIGINT) AS n_{0}"
+    return out.selectExpr("doc_id", *(count.format(k) for k in secret_scan.KINDS[:3]), f"sha2({named.format(base)}, 256) AS base_sha256", f"{named.format('spans')} AS spans", count.format("random"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.grade(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return out.selectExpr("doc_id", "grade", "grade > 0 AS toxic", "expected_severity")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -38,8 +66,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
-    return pieces.select(
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of the documents, with a checksum of their ids in place of those."""
+    return packing.pack_documents(docs, tokenizer_path()).select(
         "doc_id",
         "start",
         (F.octet_length("ids") / 4).cast("long").alias("length"),
@@ -64,5 +96,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_packing, op10_benchmark_decontamination)}
+_ALL = (
+    op1_pii_pseudonyms,
+    op2_quality_rules,
+    op3_license_scan,
+    op4_secret_scan,
+    op5_token_counts,
+    op6_toxicity,
+    op7_ngram_jaccard_join,
+    op8_language_id,
+    op9_packing,
+    op10_benchmark_decontamination,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
