@@ -1,13 +1,51 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality rules, near duplicates, benchmark passages, personal data, packing.
 
-from strandloom.llm.common import table
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
+columns of documents; the last one returns the pieces of the packed sequences.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandloom.llm import decontaminate, ngram_join, pii, quality, queries
+from strandloom.llm.common import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or a certified cutoff go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside benchmark windows are cut; a document of which nothing is left goes."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to pseudonyms."""
+    return pii.mask(docs, queries.PII_KEY)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences, a row for each piece."""
+    return queries.packed(docs)
+
+
+STAGES = [(f.__name__, f) for f in (quality_rules, near_duplicates, benchmark_passages, personal_data, packed)]
+
+#: Tokens and certified cutoffs are beyond SQL; tests hold the stages against plain versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; what stands between two stages is written out, as later ones read it more than once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
