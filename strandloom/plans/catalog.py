@@ -9,7 +9,7 @@ from strandloom.functions import blocks, dna, field
 from strandloom.operators import fm_index, pileup, turing, variants
 from strandloom.operators.plugins import Engine
 from strandloom.plans import projection as P
-from strandloom.sources import alignments, vcf
+from strandloom.sources import alignments, sequences, vcf
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +142,23 @@ def cigar_parse(spark, d):
     return rows.selectExpr("p_partkey", "aggregate(filter(ops, x -> x.op IN ('M', 'I')), 0L, (a, x) -> a + x.len) AS read_bases", "size(ops) AS operations")
 
 
+@query(f"SELECT 'd' || doc_id AS name, seq, translate(seq, 'ACGT', 'I5+?') AS qual FROM {_READ} WHERE seq <> ''")
+def fastq_records(spark, d):
+    rows = _aligned(spark, d).select(F.lit("documents").alias("file"), F.concat_ws("\n", F.concat(F.lit("@"), "name", F.lit(" of documents")), F.lower("seq"), F.lit("+"), "qual").alias("value"))
+    return sequences.parse_files(rows, "fastq").select("name", "seq", "qual")
+
+
+@query(f"SELECT 'c' || doc_id AS name, seq FROM {_READ} WHERE seq <> ''")
+def fasta_records(spark, d):
+    rows = _aligned(spark, d).select(F.lit("documents").alias("file"), F.concat(F.lit(">c"), "ord", F.lit(" contig\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n")).alias("value"))
+    return sequences.parse_files(rows, "fasta").select("name", "seq")
+
+
+@query()
+def toy_reads(spark, d):
+    return sequences.toy_reads(spark, 100_000)
+
+
 # --- bases and packing ----------------------------------------------------------------------------------------------
 
 
@@ -371,6 +388,25 @@ def machine_simulation(spark, d):
     return out.select("run_id", "accepted", "steps", "block_size", "blocks", "space_used", "space_bound", F.size(F.col("tapes")[1]).cast("long").alias("written"))
 
 
+@query("WITH b AS (SELECT user_id, event_id // 100 AS block, arg_min(event_type, event_id) AS entry, arg_max(event_type, event_id) AS exit FROM events GROUP BY ALL) SELECT l.user_id, l.block, l.exit = r.entry AS meets FROM b l JOIN b r ON r.user_id = l.user_id AND r.block = l.block + 1")
+def interface_check(spark, d):
+    """Whether a block goes on in the state in which the one before ended."""
+    by = P.table(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 100).alias("block"))
+    ends = by.agg(F.min_by("event_type", "event_id").alias("entry"), F.max_by("event_type", "event_id").alias("exit"))
+    right = ends.select("user_id", (F.col("block") - 1).alias("block"), F.col("entry").alias("next"))
+    return ends.join(right, ["user_id", "block"]).select("user_id", "block", (F.col("exit") == F.col("next")).alias("meets"))
+
+
+@query(f"WITH {P.OBS_SQL}, o AS (SELECT 'chr1' AS chrom, position, base, quality, mapq FROM obs WHERE mapq < 3) SELECT position, CAST(count(*) AS BIGINT) AS depth, abs(sum(quality / 93e0) - sum(quality) / 93e0) < 0.001 AS near FROM o GROUP BY ALL")
+def pileup_ordered_floats(spark, d):
+    """Sums of 32-bit floats in a given order stay near the exact ones."""
+    obs = P.observations(spark, d, most_mapq=2)
+    total, exact = (sum((F.col(q) for q in pileup.QUALITIES), F.lit(0.0)) for _ in range(2))
+    floats = pileup.pileup_f32(obs.withColumn("ord", F.col("quality"))).select("position", "depth", total.alias("total"))
+    whole = pileup.pileup(obs).select("position", (exact / 93).alias("exact"))
+    return floats.join(whole, "position").select("position", "depth", (F.abs(F.col("total") - F.col("exact")) < 0.001).alias("near"))
+
+
 @query("WITH s AS (SELECT t, CAST(2 * ceil(sqrt(t)) AS BIGINT) AS space FROM (SELECT DISTINCT CAST(p_size AS BIGINT) * CAST(p_size AS BIGINT) AS t FROM part WHERE p_size > 0)) SELECT t, space, round(space / lag(space) OVER (ORDER BY t), 6) AS ratio FROM s")
 def space_scaling(spark, d):
     rows = P.table(spark, d, "part").filter("p_size > 0").selectExpr("CAST(p_size AS BIGINT) * p_size AS t").distinct().withColumn("space", blocks.simulation_bound("t"))

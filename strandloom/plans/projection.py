@@ -41,9 +41,9 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("'chr1' AS chrom", f"(l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 13) % {n - READ} AS pos", "l_orderkey % 61 AS mapq", "l_orderkey", "l_partkey")
 
 
-def observations(spark: SparkSession, sf_dir: str, least_mapq: int = 0) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, least_mapq: int = 0, most_mapq: int = 255) -> DataFrame:
     """chrom, position, base, quality of each base of each read: the reference's, or at some places a mutated one."""
-    reads = mapped(spark, sf_dir).filter(F.col("mapq") >= least_mapq)
+    reads = mapped(spark, sf_dir).filter(F.col("mapq").between(least_mapq, most_mapq))
     each = reads.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(READ - 1))))
     each = each.selectExpr("chrom", "pos + off AS position", "CAST((l_orderkey + off * 7) % 42 AS INT) AS quality", "(l_orderkey * 31 + off * 17 + l_partkey) % 97 = 0 AS mutated")
     ref = reference(spark, sf_dir)

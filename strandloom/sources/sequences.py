@@ -72,10 +72,15 @@ def _parsed(rows, kind: str, first_only: bool):
             yield file, *record
 
 
+def parse_files(files: DataFrame, kind: str, first_only: bool = False) -> DataFrame:
+    """The records of files that are given as rows (file, value: the whole text); kind is fasta or fastq."""
+    if kind not in ("fasta", "fastq"):
+        raise ValueError("kind is fasta or fastq")
+    return files.select("file", "value").mapInPandas(_Parser(kind, first_only), FASTA if kind == "fasta" else FASTQ)
+
+
 def _read(spark: SparkSession, path: str, kind: str, first_only: bool) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    parse = _Parser(kind, first_only)
-    return files.mapInPandas(parse, FASTA if kind == "fasta" else FASTQ)
+    return parse_files(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), kind, first_only)
 
 
 class _Parser:
@@ -98,3 +103,24 @@ def read_fasta(spark: SparkSession, path: str, first_only: bool = True) -> DataF
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """file, ord, name, seq, qual."""
     return _read(spark, path, "fastq", False)
+
+
+def toy_reference(spark: SparkSession, length: int = 1_000_000, seed: int = 1337) -> DataFrame:
+    """position, base of a random reference; a base follows from its place and the seed alone, so any part can be made anywhere."""
+    code = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(4)).cast("int")
+    return spark.range(length).select(F.col("id").alias("position"), F.substring(F.lit("ACGT"), code + 1, F.lit(1)).alias("base"))
+
+
+def toy_reads(spark: SparkSession, length: int = 1_000_000, depth: int = 10, read: int = 150, error: float = 0.01, seed: int = 1337) -> DataFrame:
+    """ord, name, pos, seq, qual of random reads at a depth, with random errors; pairs are a read and the reverse complement of its fragment."""
+    reads = spark.range(length * depth // read).withColumn("pos", F.pmod(F.xxhash64(F.lit(seed + 1), F.floor(F.col("id") / 2)), F.lit(length - read)))
+    each = reads.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(read - 1))))
+    base = F.pmod(F.xxhash64(F.lit(seed), F.col("pos") + F.col("off")), F.lit(4)).cast("int")
+    wrong = F.pmod(F.xxhash64(F.lit(seed + 2), "id", "off"), F.lit(10_000)) < int(error * 10_000)
+    shifted = (base + F.pmod(F.xxhash64(F.lit(seed + 3), "id", "off"), F.lit(3)).cast("int") + 1) % 4
+    each = each.withColumn("b", F.substring(F.lit("ACGT"), F.when(wrong, shifted).otherwise(base) + 1, F.lit(1)))
+    seq = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("off", "b"))), lambda x: x["b"]), "")
+    made = each.groupBy("id", "pos").agg(seq.alias("s"))
+    seq = F.when(F.col("id") % 2 == 0, F.col("s")).otherwise(F.reverse(F.translate("s", "ACGT", "TGCA")))
+    name = F.concat(F.lit("toy_read_"), F.floor(F.col("id") / 2).cast("string"), F.lit("/"), (F.col("id") % 2 + 1).cast("string"))
+    return made.select(F.col("id").alias("ord"), name.alias("name"), "pos", seq.alias("seq"), F.lit("I" * read).alias("qual"))
