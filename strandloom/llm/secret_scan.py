@@ -72,8 +72,10 @@ def labelled(words: list[str], n: int = 4000, seed: int = 11) -> list[tuple[str,
 def ordinary_words(docs: DataFrame, documents: int = 400, words: int = 20_000, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
     """Words for the samples of identifiers: up to so many, of up to so many documents, those of at most 20,000 bytes with the smallest hashes; base shapes aren't words."""
     rows = docs.select(F.xxhash64(id_col, F.octet_length(text_col)).alias("h"), F.col(text_col).alias("t")).filter("octet_length(t) <= 20000")
+    # hashes first, so that no task sends texts that aren't chosen
+    least = [r.h for r in rows.select("h").orderBy("h").limit(documents).collect()]
     found: dict[str, None] = {}
-    for r in rows.orderBy("h").limit(documents).collect():
+    for r in rows.filter(F.col("h") <= least[-1]).orderBy("h").limit(documents).collect() if least else ():
         for w in re.findall("[A-Za-z]{3,}", _HEX.sub(lambda m: "" if len(m[0]) > 15 else m[0], _ACCESS.sub("", r.t))):
             found[w] = None
     return list(found)[:words]
