@@ -185,6 +185,8 @@ def assess(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The documents that are kept, with their own columns, whatever those are named but for a leading __q_."""
-    rows = stored(with_stats(docs, text_col, "__q_"), "quality-documents")
-    cuts = stored(thresholds(rows, labels, risk, id_col, stratum_col, prefix="__q_"), "quality-cuts")
-    return judged(rows, cuts, stratum_col, "__q_").filter("__q_kept").select(*docs.columns)
+    own = docs.select(F.col(id_col).alias("__q_id"), F.col(stratum_col).alias("__q_stratum"), F.col(text_col).alias("__q_text"))
+    stats = stored(with_stats(own, "__q_text").drop("__q_text"), "quality-stats")
+    cuts = stored(thresholds(stats, labels, risk, "__q_id", "__q_stratum"), "quality-cuts")
+    # the statistics are found again beside the texts: that takes less than to write or shuffle all texts
+    return judged(with_stats(docs, text_col, "__q_"), cuts, stratum_col, "__q_").filter("__q_kept").select(*docs.columns)
