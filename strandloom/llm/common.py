@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,12 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have run and that nothing refers to; it notices at a collection of garbage only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow without a barrier; step must be a function of an importable module or a partial of one, so that workers keep its caches."""
     return df.mapInArrow(step, schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored, texts_of
+from .common import arrow_map, drop_stored, released, stored, texts_of
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -121,8 +121,8 @@ def _has(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of the tokens, of two to four bits for each."""
-    width = max(256, 1 << int(2 * len(tokens) - 1).bit_length())
+    """A bitmap of the tokens, of eight to sixteen bits for each; trees hold it folded to a quarter."""
+    width = max(1024, 1 << int(8 * len(tokens) - 1).bit_length())
     at = (tokens & np.uint64(width - 1)).astype(np.int64)
     out = np.zeros(width, np.uint8)
     out[at] = 1
@@ -294,6 +294,38 @@ def _unit(rows: list[tuple], rule: Rule) -> list[tuple[int, int]]:
     return list(traverse(trees[0], trees[-1], rule)) if trees else []
 
 
+def _folded_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = (np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Tree.fold(x, len(x) // 4).tobytes() for x in raw], pa.binary())], ["node", "signature"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Of candidate pairs (a, b, their sizes and signatures), those whose greatest overlap by the unfolded bitmaps suffices."""
+    for batch in batches:
+        keep = []
+        for a, b, m, n, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            width = min(len(x), len(y))
+            x, y = Tree.fold(x, width), Tree.fold(y, width)
+            count = lambda z: int(np.bitwise_count(z).sum(dtype=np.int64))
+            most = min(m, n, count(x & y) + min(m - count(x), n - count(y)))
+            if (100 + rule.percent) * most >= rule.percent * (m + n):
+                keep.append((a, b))
+        yield _pairs(keep)
+
+
+def _only(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = _has(wanted.value, batch.column("node").to_numpy().view(np.uint64), _FILTER)
+        yield batch.filter(pa.array(keep))
+
+
+def _of_wanted(df: DataFrame, wanted) -> DataFrame:
+    """The rows whose node a bitmap may hold."""
+    return df.mapInArrow(functools.partial(_only, wanted=wanted), df.schema)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, wanted) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -355,13 +387,20 @@ def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
     step = functools.partial(_routed, rule=rule, common=common, shared=shared)
     routed = stored(arrow_map(rows, step, "node long, size long, keys array<long>, route array<long>, signature binary, tokens binary"), "join-routed")
 
-    # verified links to the leaders of buckets by each smallest hash in turn; who has got a leader leaves
-    led, left = None, routed.filter("tokens IS NOT NULL")
+    # verified links to the leaders of buckets by each smallest hash in turn; buckets of nodes that all have got a leader are left out
+    led, light = None, routed.select("node", "keys")
     for k in range(len(_KEYS)):
-        dealt = left.select(F.col("keys")[k].alias("key"), "node", "tokens").repartition(F.col("key")).sortWithinPartitions("key", "node")
+        if led is not None:
+            light = light.join(led, "node", "left_anti")
+        own = light.select("node", F.col("keys")[k].alias("key"))
+        several = own.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
+        # only sets whose bucket holds another node are dealt out; a bitmap of fixed size tells which
+        wanted = context.broadcast(_bits(own.join(several, "key", "left_semi"), "node", _FILTER))
+        sets = _of_wanted(routed.selectExpr("node", f"keys[{k}] AS key", "tokens").filter("tokens IS NOT NULL"), wanted)
+        dealt = sets.repartition(F.col("key")).sortWithinPartitions("key", "node").select("key", "node", "tokens")
         found = stored(arrow_map(dealt, functools.partial(_stars, rule=rule, most=8), "node long, lead long").groupBy("node").agg(F.min("lead").alias("lead")), "join-stars")
         led = found if led is None else led.unionAll(found)
-        left = left.join(found, "node", "left_anti")
+        released(spark)
     own = components(led.selectExpr("node AS a", "lead AS b"))
 
     # buckets by routed elements, of at least two groups; equal buckets count once
@@ -372,21 +411,29 @@ def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
     mixed = dealt.filter("least < most").select("bucket", "node", "size", "group").distinct()
     ranked = mixed.withColumn("chunk", F.expr(f"CAST((row_number() OVER (PARTITION BY bucket ORDER BY size, node) - 1) DIV {rule.chunk} AS INT)"))
     ranked = stored(ranked, "join-buckets")
+    released(spark)
     # chunks of a bucket meet where their sizes can: each chunk goes to the units (one, another), as the left or the right side
     spans = ranked.groupBy("bucket", "chunk").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     one, two = spans.alias("p"), spans.alias("q")
     units = one.join(two, F.expr(f"p.bucket = q.bucket AND p.chunk <= q.chunk AND 100 * p.hi >= {rule.percent} * q.lo")).selectExpr("p.bucket AS bucket", "p.chunk AS one", "q.chunk AS two")
     sides = units.selectExpr("bucket", "one AS chunk", "one", "two", "0 AS side").unionAll(units.filter("one < two").selectExpr("bucket", "two AS chunk", "one", "two", "1 AS side"))
-    signs = routed.groupBy("node").agg(F.first("signature").alias("signature"))
-    laid = sides.join(ranked, ["bucket", "chunk"]).join(signs, "node").select("bucket", "one", "two", "side", "node", "group", "size", "signature")
+    small = arrow_map(routed.select("node", "signature"), _folded_signs, "node long, signature binary").groupBy("node").agg(F.first("signature").alias("signature"))
+    laid = sides.join(ranked, ["bucket", "chunk"]).join(small, "node").select("bucket", "one", "two", "side", "node", "group", "size", "signature")
     laid = laid.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    pairs = stored(arrow_map(laid, functools.partial(_candidates, rule=rule), "a long, b long").distinct(), "join-pairs")
+    pairs = stored(arrow_map(laid, functools.partial(_candidates, rule=rule), "a long, b long").distinct(), "join-candidates")
+    wanted = context.broadcast(_bits(pairs.selectExpr("explode(array(a, b)) AS node"), "node", _FILTER))
+    signs = _of_wanted(routed.select("node", "size", "signature"), wanted).groupBy("node").agg(F.first("size").alias("size"), F.first("signature").alias("signature"))
+    one, two = (signs.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("signature").alias(f"sign_{k}")) for k in "ab")
+    signed = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "sign_a", "sign_b")
+    pairs = stored(arrow_map(signed, functools.partial(_near, rule=rule), "a long, b long"), "join-pairs")
+    drop_stored(routed)
+    released(spark)
 
     links = led.selectExpr("node AS a", "lead AS b")
     if not pairs.isEmpty():
         wanted = context.broadcast(_bits(pairs.selectExpr("explode(array(a, b)) AS node"), "node", _FILTER))
         sets = arrow_map(rows, functools.partial(_sets, rule=rule, wanted=wanted), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-        sets = stored(sets, "join-sets")
+        sets = stored(sets.join(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "node", "left_semi"), "join-sets")
         both = pairs.join(sets.selectExpr("node AS a", "tokens AS x"), "a").join(sets.selectExpr("node AS b", "tokens AS y"), "b").select("a", "b", "x", "y")
         links = links.unionAll(stored(arrow_map(both, functools.partial(_verified, rule=rule), "a long, b long"), "join-links"))
     roots = components(links)

@@ -75,7 +75,7 @@ def test_the_traversal_loses_no_pair(seed):
         own = base[rng.integers(6)].copy()
         own[rng.random(len(own)) < rng.choice([0.0, 0.03, 0.1, 0.2])] = rng.integers(1 << 62)
         sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 63, rng.integers(8), np.uint64)])))
-    of = lambda part: J.Tree(np.array(part), np.array(part) % 40, np.array([len(sets[i]) for i in part]), [J.signature(sets[i]).tobytes() for i in part])
+    of = lambda part: J.Tree(np.array(part), np.array(part) % 40, np.array([len(sets[i]) for i in part]), [J.Tree.fold(s := J.signature(sets[i]), len(s) // 4).tobytes() for i in part])
     left, right = of(list(range(90))), of(list(range(90, 150)))
     for one, two, rows, others in ((left, left, range(90), range(90)), (left, right, range(90), range(90, 150))):
         found = {tuple(sorted(x)) for x in J.traverse(one, two, rule)}
