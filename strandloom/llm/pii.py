@@ -4,7 +4,8 @@ Numbers and dates that pass their format's validation are permuted, under a key,
 keep their length, spacing and check digit rule, IBANs their country, letters and check digits, addresses of IPv4, social security
 numbers and dates stay valid ones, phone numbers keep their country code and punctuation. A permutation maps equal values to
 equal pseudonyms and different values to different ones, in every document and table that uses the key. E-mail
-addresses, which aren't numbers, become keyed names under a reserved domain. What fails validation stays as it is.
+addresses, which aren't numbers, become keyed names under a reserved domain. What fails validation stays as it is, but not the values
+inside it: of each place, from left to right, the longest valid candidate counts.
 """
 
 from __future__ import annotations
@@ -24,6 +25,13 @@ KINDS = {
     "ssn": _B + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E,
     "card": _B + "[0-9](?:[ -]?[0-9]){12,18}" + _E,
 }
+#: What parts no value and touches none, so that a text may be cut behind it.
+_CUT = r"(?<=[\n\t,;:!?|=<>])|(?<=[a-z ] )"
+#: Characters of a whole IBAN by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()
+}
 #: An even number of rounds, so that both halves change equally often.
 ROUNDS = 10
 
@@ -148,9 +156,34 @@ def pseudonymised(text: str, key: str) -> tuple[Column, Column]:
     return F.expr(both), F.expr(between)
 
 
+def _longest_valid(m: str, key: str) -> str:
+    """SQL for struct(n, new) of the longest valid candidate that begins where a match does and ends where a word of it does; null if there is none."""
+    lengths = "map(" + ", ".join(f"'{k}', {n}" for k, n in IBAN_LENGTHS.items()) + ")"
+    whole = f"(l = length({m}) OR x NOT RLIKE '^[A-Z]' OR coalesce({lengths}[substr(x, 1, 2)] = length(replace(x, ' ', '')), true))"
+    one = _with(f"substr({m}, 1, l)", "x", f"IF({whole}, {_with(pseudonym('x', key), 'y', "IF(y <> x, named_struct('n', l, 'new', y), NULL)")}, NULL)")
+    ends = f"substr({m}, l + 1, 1) RLIKE '[0-9A-Za-z]'"
+    return f"aggregate(sequence(length({m}), 1, -1), CAST(NULL AS STRUCT<n: INT, new: STRING>), (s, l) -> IF(s IS NOT NULL OR {ends}, s, {one}))"
+
+
+def _again(part: str, key: str) -> str:
+    """SQL for struct(o, n, skip): a text with pseudonyms and their number, found from each place at which any shape begins, not only behind the last match."""
+    at = f"(?=({_shapes().replace(chr(92) + '2', chr(92) + '3').replace(chr(92) + '1', chr(92) + '2')}))"  # the new group moves the back references
+    found = f"transform(regexp_extract_all({part}, {_quoted(at)}, 1), m -> {_longest_valid('m', key)})"
+    # the first piece is what stands before the first place, unless that is the beginning
+    pieces = _with(f"split({part}, {_quoted(at)}, -1)", "p", "IF(size(p) = size(f), p, slice(p, 2, size(f)))")
+    first = f"IF(size(f) = 0, {part}, substr({part}, 1, length({part}) - aggregate(p, 0, (s, x) -> s + length(x))))"
+    rest = "named_struct('o', concat(s.o, substr(x.p, s.skip + 1)), 'n', s.n, 'skip', greatest(s.skip - length(x.p), 0))"
+    new = "named_struct('o', concat(s.o, x.f.new, substr(x.p, x.f.n + 1)), 'n', s.n + 1, 'skip', greatest(x.f.n - length(x.p), 0))"
+    fold = f"aggregate(zip_with(p, f, (p, f) -> named_struct('p', p, 'f', f)), named_struct('o', {first}, 'n', 0, 'skip', 0), (s, x) -> IF(s.skip > 0 OR x.f IS NULL, {rest}, {new}))"
+    return _with(found, "f", _with(pieces, "p", fold))
+
+
 def mask(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The documents with pseudonyms in place of valid personal data; all other columns stay, and count_col, if named, is added.
 
+    A text whose every match is valid is done at once. Where one fails, the text is searched again from each place: a shorter candidate
+    there, or one that begins inside or reaches beyond what failed, may be valid.
+
     Null texts stay null (count 0), texts without matches are returned as they are; each row is treated by itself, so copies get equal
     results and nothing is shuffled. The key is a secret of the caller: with another key, all pseudonyms differ.
     """
@@ -158,9 +191,13 @@ def mask(docs: DataFrame, key: str, text_col: str = "text", count_col: str | Non
         raise ValueError("a key is needed")
     found, between = pseudonymised(f"`{text_col}`", key)
     out = docs.withColumn("__pii_found", F.coalesce(found, F.expr("array()")))
+    parts = f"transform(split(`{text_col}`, {_quoted(_CUT)}, -1), t -> IF(t RLIKE '[0-9@]', {_again('t', key)}, named_struct('o', t, 'n', 0, 'skip', 0)))"
+    out = out.withColumn("__pii_again", F.expr(f"IF(exists(__pii_found, x -> x.old = x.new), {parts}, NULL)"))
     new = F.expr("transform(__pii_found, x -> x.new)")
     pieces = F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda p, n: F.concat(p, n))
-    out = out.withColumn(text_col, F.when(F.size("__pii_found") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col)))
+    again = F.col("__pii_again").isNotNull()
+    text = F.when(again, F.expr("array_join(transform(__pii_again, x -> x.o), '')")).when(F.size("__pii_found") > 0, F.array_join(pieces, ""))
+    out = out.withColumn(text_col, text.otherwise(F.col(text_col)))
     if count_col:
-        out = out.withColumn(count_col, F.expr("CAST(size(filter(__pii_found, x -> x.old <> x.new)) AS BIGINT)"))
-    return out.drop("__pii_found")
+        out = out.withColumn(count_col, F.expr("CAST(IF(__pii_again IS NOT NULL, aggregate(__pii_again, 0, (s, x) -> s + x.n), size(filter(__pii_found, x -> x.old <> x.new))) AS BIGINT)"))
+    return out.drop("__pii_found", "__pii_again")
