@@ -156,7 +156,7 @@ def fasta_records(spark, d):
 
 @query()
 def toy_reads(spark, d):
-    return sequences.toy_reads(spark, 100_000)
+    return sequences.toy_reads(spark)
 
 
 # --- bases and packing ----------------------------------------------------------------------------------------------

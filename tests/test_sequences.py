@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom import cli
 from strandloom.functions import blocks, dna, field
 from strandloom.operators import fm_index, pileup, plugins, turing, variants
+from strandloom.plans import catalog
 from strandloom.sources import alignments, sequences, vcf
 
 SAM = "\n".join([
@@ -160,6 +161,30 @@ def test_parsers(spark):
         alignments.parse_sam(spark.createDataFrame([("a\t0\tchr1",)], "value string")).collect()
 
 
+def test_toy_reads(spark):
+    import xxhash
+
+    def hashed(*values):
+        h = 42
+        for v, size in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(size, "little"), h)
+        return h - (1 << 64) * (h >> 63)
+
+    length, seed, rc = 2000, 1337, str.maketrans("ACGT", "TGCA")
+    want = []
+    for i in range(length * 10 // 150):
+        pos = hashed((seed + 1, 4), (i // 2, 8)) % (length - 150)
+        seq = ""
+        for off in range(150):
+            base = hashed((seed, 4), (pos + off, 8)) % 4
+            if hashed((seed + 2, 4), (i, 8), (off, 4)) % 10_000 < 100:
+                base = (base + hashed((seed + 3, 4), (i, 8), (off, 4)) % 3 + 1) % 4
+            seq += "ACGT"[base]
+        want.append((i, f"toy_read_{i // 2}/{i % 2 + 1}", pos, seq if i % 2 == 0 else seq.translate(rc)[::-1], "I" * 150))
+    assert [tuple(r) for r in sequences.toy_reads(spark, length).orderBy("ord").collect()] == want
+    assert catalog.toy_reads(spark, None).count() == 66_666
+
+
 def test_packing_round_trip(spark):
     seqs = ["ACGTACGTNNACGT", "", "N", "acgu" * 40, "T" * 32, "T" * 33]
     rows = spark.createDataFrame([(x,) for x in seqs], "s string").select("s", dna.pack("s").alias("p"))
