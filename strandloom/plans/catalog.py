@@ -108,6 +108,14 @@ def rna_seq_plugin(spark, d):
     return Engine(spark).run("rna_seq_quant", _document_reads(spark, d), 100, 6000, 512).output
 
 
+@query(f"SELECT position, CAST(count(*) AS BIGINT) AS depth FROM (SELECT doc_id * 37 % 5000 + unnest(range(length(seq))) AS position FROM {_READ}) GROUP BY ALL")
+def rna_seq_plugin_whole(spark, d):
+    """The plugin over the region of all reads, from 0 to where the last one ends."""
+    reads = _document_reads(spark, d)
+    end = reads.agg(F.max(F.col("pos") + F.length("seq"))).first()[0] or 1
+    return Engine(spark).run("rna_seq_quant", reads, 0, max(end, 1), 512).output
+
+
 @query(f"SELECT doc_id, CAST(doc_id * 37 % 5000 + length(seq) AS BIGINT) AS read_end, CAST(length(seq) AS INT) AS read_length, seq[4] AS fourth, 30 AS quality FROM {_READ} WHERE length(seq) >= 4")
 def read_accessors(spark, d):
     rows = _document_reads(spark, d).filter("length(seq) >= 4")

@@ -274,6 +274,16 @@ def test_plugins(spark):
     assert engine.registry.get("total", plugins.BlockPlugin) and engine.registry.get("nothing") is None
 
 
+def test_plugin_over_all_reads(spark, tmp_path):
+    docs = [(1, "a" * 7000), (2, "The Cat"), (135, "x"), (200, ""), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, text in docs:
+        for i in range(len((text or "").replace(" ", ""))):
+            want[k * 37 % 5000 + i] = want.get(k * 37 % 5000 + i, 0) + 1
+    assert dict(catalog.rna_seq_plugin_whole(spark, tmp_path).collect()) == want and max(want) == 37 + 6999
+
+
 def test_streaming(spark, files, tmp_path):
     from strandloom.streaming import pileup as stream
 
