@@ -415,6 +415,17 @@ def pileup_ordered_floats(spark, d):
     return floats.join(whole, "position").select("position", "depth", (F.abs(F.col("total") - F.col("exact")) < 0.001).alias("near"))
 
 
+@query(f"WITH {P.OBS_SQL} SELECT position, CAST(count(*) AS BIGINT) AS depth, abs(sum(quality / 93e0) - sum(quality) / 93e0) <= (count(*) + 2) * sum(quality) / 93e0 / 16777216 AS near FROM obs GROUP BY ALL")
+def pileup_ordered_floats_whole(spark, d):
+    """Of all observations. near holds to the error that so many additions of 32-bit floats can make, as that grows with the depth."""
+    obs = P.observations(spark, d)
+    total, exact = (sum((F.col(q) for q in pileup.QUALITIES), F.lit(0.0)) for _ in range(2))
+    floats = pileup.pileup_f32(obs.withColumn("ord", F.col("quality"))).select("position", "depth", total.alias("total"))
+    whole = pileup.pileup(obs).select("position", (exact / 93).alias("exact"))
+    near = F.abs(F.col("total") - F.col("exact")) <= (F.col("depth") + 2) * F.col("exact") / (1 << 24)
+    return floats.join(whole, "position").select("position", "depth", near.alias("near"))
+
+
 @query("WITH s AS (SELECT t, CAST(2 * ceil(sqrt(t)) AS BIGINT) AS space FROM (SELECT DISTINCT CAST(p_size AS BIGINT) * CAST(p_size AS BIGINT) AS t FROM part WHERE p_size > 0)) SELECT t, space, round(space / lag(space) OVER (ORDER BY t), 6) AS ratio FROM s")
 def space_scaling(spark, d):
     rows = P.table(spark, d, "part").filter("p_size > 0").selectExpr("CAST(p_size AS BIGINT) * p_size AS t").distinct().withColumn("space", blocks.simulation_bound("t"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom import cli
 from strandloom.functions import blocks, dna, field
 from strandloom.operators import fm_index, pileup, plugins, turing, variants
-from strandloom.plans import catalog
+from strandloom.plans import catalog, projection
 from strandloom.sources import alignments, sequences, vcf
 
 SAM = "\n".join([
@@ -97,6 +97,24 @@ def test_results_do_not_depend_on_partitions(spark):
     assert sum(r.depth for r in f32) == sum(r.depth for r in want)
 
 
+def test_ordered_floats_of_all_reads(spark):
+    import numpy as np
+
+    d = "/root/testdata/sf0.001"
+    found = catalog.pileup_ordered_floats_whole(spark, d).collect()
+    assert sum(r.depth for r in found) == spark.read.parquet(f"{d}/lineitem.parquet").count() * projection.READ and all(r.near for r in found)
+    obs = projection.observations(spark, d).filter("position < 200").withColumn("ord", F.col("quality")).cache()
+    of = {}
+    for r in obs.collect():
+        of.setdefault((r.position, r.base), []).append(r.quality)
+    for r in pileup.pileup_f32(obs).collect():
+        for base in "ACGT":
+            want = np.float32(0)
+            for q in sorted(of.get((r.position, base), [])):
+                want = want + np.float32(q) / np.float32(93)
+            assert r[f"q_{base.lower()}"] == want
+
+
 def test_overlaps(spark):
     rows = reads(spark, [(0, "A" * 3000), (1023, "AA"), (5000, "A"), (10, "")])
     regions = spark.createDataFrame([("chr1", 0, 1024), ("chr1", 1024, 4096), ("chr1", 5001, 6000), ("chr2", 0, 9999)], "chrom string, region_start int, region_end int")
