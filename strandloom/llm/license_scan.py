@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, texts_of
 
 _WORD = re.compile(r"[^\W_]+")
+#: What parts words, but not by ASCII alone.
+_PARTS = re.compile(r"[^\x00-\x7f\w]")
 #: Public licence notices, as they are printed in files and texts.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -46,6 +48,11 @@ class Settings:
     least: float = 0.8
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    lower = text.lower()
+    return [m.span() for m in _WORD.finditer(lower if len(lower) == len(text) else text)]
+
+
 def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -87,8 +94,8 @@ class Index:
 
     def near(self, texts: list[str | None]) -> list[bool]:
         """Which texts hold any k-gram of any template; the others are done with."""
-        raws = [re.sub(rb"[^0-9a-z\x80-\xff]+", b" ", t.lower().encode()) if t else b"" for t in texts]
-        words = [r.split() for r in raws]
+        plain = lambda t: re.sub(rb"[^0-9a-z\x80-\xff]+", b" ", t.lower().encode()).split()
+        words = [[t[a:b].lower().encode() for a, b in _places(t)] if _PARTS.search(t) else plain(t) for t in (t or "" for t in texts)]
         get, out = self.number.get, []
         for own in words:
             ids = np.fromiter((get(w, 0) for w in own), np.int64, len(own))
@@ -98,7 +105,7 @@ class Index:
 
     def matches(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, start, end); of overlapping findings the one with most matched words stays."""
-        places = [m.span() for m in _WORD.finditer(text.lower())] if len(text.lower()) == len(text) else [m.span() for m in _WORD.finditer(text)]
+        places = _places(text)
         ids = np.array([self.number.get(text[a:b].lower().encode(), 0) for a, b in places], np.int64)
         grams = self.grams(ids)
         hits: dict[str, set[tuple[int, int]]] = {}

@@ -71,6 +71,12 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0 and license_scan.scan(docs, {}).count() == 0
 
 
+def test_licence_words_parted_beyond_ascii(spark):
+    texts = ["Released\u00a0under\u00a0the\u00a0MIT\u00a0License.", "Released\u2014under\u2014the\u2014MIT\u2014License", "\u201cReleased under\u201d the\u2009MIT\u2009License \u0130", "Gr\u00f6\u00dfe\u00a0und"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.coverage) for r in license_scan.scan(docs).collect()) == [(k, "mit-line", 1.0) for k in range(3)]
+
+
 def test_licence_query(spark):
     d = "/root/testdata/sf0.01"
     docs = dict(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
