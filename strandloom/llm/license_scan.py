@@ -136,10 +136,11 @@ class Index:
         part = ids[low : max(0, diagonal + len(own) + band)].tolist()
         shift = diagonal - low
         # best[j]: (matched words, minus the gaps, first, last) after template word i and text word j, inside the band only
-        before = {j: (0, 0, -1, -1) for j in range(0, shift + band + 1)}
+        # where the text begins or ends inside the template, the band stays at its edge and the rest of the template counts as gaps
+        before = {j: (0, 0, -1, -1) for j in range(0, max(0, shift + band) + 1)}
         for i, w in enumerate(own):
             row: dict[int, tuple] = {}
-            for j in range(max(0, i + shift - band), min(len(part), i + 1 + shift + band) + 1):
+            for j in range(min(len(part), max(0, i + shift - band)), min(len(part), max(0, i + 1 + shift + band)) + 1):
                 options = []
                 if j in before:
                     m, g, a, b = before[j]
@@ -154,8 +155,6 @@ class Index:
                 if options:
                     row[j] = max(options)
             before = row
-        if not before:
-            return None
         m, _, a, b = max(before.values())
         return (m, low + a, low + b) if m else None
 

@@ -77,6 +77,20 @@ def test_licence_words_parted_beyond_ascii(spark):
     assert sorted((r.doc_id, r.license, r.coverage) for r in license_scan.scan(docs).collect()) == [(k, "mit-line", 1.0) for k in range(3)]
 
 
+def test_licence_cut_by_the_text(spark):
+    rows = []
+    for name in ("apache-2.0-notice", "mit"):
+        words = re.findall(r"\S+", license_scan.TEMPLATES[name])
+        size = len(license_scan._words(license_scan.TEMPLATES[name]))
+        for part in (words[:-13], words[13:], words[:-15], words[15:]):
+            found = len(license_scan._words(" ".join(part)))
+            rows += [(name, found / size, " ".join(part)), (name, found / size, "before it " * 20 + " ".join(part) + " behind it" * 20)]
+    docs = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    found = {(r.doc_id, r.license): r.coverage for r in license_scan.scan(docs).collect()}
+    for k, (name, coverage, _) in enumerate(rows):
+        assert coverage < 0.8 or found.get((k, name), 0) >= coverage, (k, name, coverage, found)
+
+
 def test_licence_query(spark):
     d = "/root/testdata/sf0.01"
     docs = dict(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
