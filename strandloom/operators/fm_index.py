@@ -114,12 +114,14 @@ def kmers(index: Index, longest: int) -> DataFrame:
     return each.join(index.bwt.select("pos", "idx"), "pos").groupBy("kmer").agg(F.min("idx").alias("lower"), (F.max("idx") + 1).alias("upper"))
 
 
-def search(index: Index, segments: DataFrame, longest: int) -> DataFrame:
+def search(index: Index, segments: DataFrame, longest: int | None = None) -> DataFrame:
     """Backward search of each segment: the columns of segments (key columns and seq), processed, mismatches, lower, upper, exhausted, score.
 
     Symbols other than A, C, G, T, U, N are skipped, each a mismatch. The search goes from the end; where no match is left it stops,
-    which is one more mismatch. longest bounds the segments' length. An equi-join with the reference's texts replaces the walk.
+    which is one more mismatch. longest bounds the segments' length; without it, it is found from them. An equi-join with the reference's texts replaces the walk.
     """
+    if longest is None:
+        longest = segments.agg(F.max(F.length("seq"))).first()[0] or 1
     keys = [c for c in segments.columns if c != "seq"]
     upper = F.translate(F.upper("seq"), "U", "T")
     rows = segments.withColumn("__s", upper).withColumn("__known", F.regexp_replace("__s", "[^ACGTN]", ""))
@@ -164,7 +166,7 @@ def merged(summaries: DataFrame) -> DataFrame:
     )
 
 
-def align(index: Index, reads: DataFrame, mode: str = "whole", longest: int = 256) -> DataFrame:
+def align(index: Index, reads: DataFrame, mode: str = "whole", longest: int | None = None) -> DataFrame:
     """Summaries of reads (ord, seq). mode whole searches a read as one; blocked searches as many segments as the index has blocks, each from the
     full interval, so that the interval is the last segment's."""
     if mode not in ("whole", "blocked"):

@@ -153,6 +153,15 @@ def test_index(spark, text):
         assert (r.lower, r.upper, r.processed, r.mismatches, r.score) == (lower, upper, processed, mismatches, processed - 1.5 * mismatches), r
 
 
+def test_align_long_reads(spark):
+    text = "".join("ACGT"[(i * i * 7 + i // 3) % 4] for i in range(400))
+    index = fm_index.Index.build(contig(spark, text))
+    rows = spark.createDataFrame([(0, text[40:340]), (1, text[:10])], "ord long, seq string")
+    found = {r.ord: r for r in fm_index.located(index, fm_index.align(index, rows)).collect()}
+    assert (found[0].processed, found[0].exhausted, found[0].mapq) == (300, False, 60) and text.startswith(text[40:340], found[0].position)
+    assert fm_index.search(index, rows).filter("exhausted").count() == 0
+
+
 def test_index_errors(spark):
     with pytest.raises(ValueError):
         fm_index.Index.build(contig(spark, "ACGT"), 0)
