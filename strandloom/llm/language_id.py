@@ -25,14 +25,17 @@ MAX_BYTES = 64 << 20
 
 def learn(docs: DataFrame, per_lang: int = 200, dict_bytes: int = 96 << 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language, from a bounded sample: the whole texts of up to per_lang documents, those whose hashed
-    ids are smallest, as long as they fit in dict_bytes. Null ids, texts and languages teach nothing. ValueError where the
+    ids are smallest, as long as they fit in dict_bytes; texts over dict_bytes / 4 bytes are left out, but a language that has
+    no others learns from the beginnings, of dict_bytes / 16 characters, of those. Null ids, texts and languages teach nothing. ValueError where the
     languages' dictionaries would take more than MAX_BYTES.
     """
     rows = docs.selectExpr(f"{id_col} id", f"{text_col} text", f"{lang_col} lang").filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    rows = rows.withColumn("rank", F.xxhash64(F.col("id").cast("string"), F.octet_length("text"))).filter(F.octet_length("text") <= dict_bytes // 4)
-    n = rows.select("lang").distinct().limit(MAX_BYTES // dict_bytes + 1).count()
-    if n > MAX_BYTES // dict_bytes:
+    rows = rows.withColumn("rank", F.xxhash64(F.col("id").cast("string"), F.octet_length("text"))).withColumn("short", F.octet_length("text") <= dict_bytes // 4)
+    langs = rows.groupBy("lang").agg(F.bool_or("short").alias("short")).limit(MAX_BYTES // dict_bytes + 1).collect()
+    if len(langs) > MAX_BYTES // dict_bytes:
         raise ValueError(f"more than {MAX_BYTES // dict_bytes} languages")
+    rows = rows.filter(F.col("short") | F.col("lang").isin([r.lang for r in langs if not r.short]))
+    rows = rows.withColumn("text", F.when(F.col("short"), F.col("text")).otherwise(F.substring("text", 1, dict_bytes // 16))).drop("short")
     # no more than per_lang rows of a language leave a task
     first = Window.partitionBy("lang").orderBy("rank", "id")
     chosen = rows.select("lang", "rank", "id").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= per_lang)

@@ -13,6 +13,15 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_language_of_long_texts_only(spark):
+    rows = [(1, "der die das und nicht " * 3000, "de"), (2, "the and that with from " * 20, "en"), (3, "le la les et pas " * 5000, "fr"), (4, "the end " * 9000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language_id.learn(docs)
+    assert set(known) == {"de", "en", "fr"} and b"the end" not in known["en"] and all(len(x) <= 96 << 10 for x in known.values())
+    asked = spark.createDataFrame([(1, "das und nicht die der"), (2, "that and with the from"), (3, "les et pas la le")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, known).collect()} == {1: "de", 2: "en", 3: "fr"}
+
+
 def test_edges(spark):
     rows = [(1, "der die das und nicht " * 20, "de", "x"), (2, "the and that with from " * 20, "en", "x"), (3, None, "en", "x"), (4, "12 !? 34", "en", "x"), (None, "the and that", "en", "x"), (5, "UND NICHT DIE", None, "x"), (5, "und nicht die", None, "x"), (6, "", "de", "x"), (7, "the and " * 200_000, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
