@@ -75,18 +75,19 @@ def with_stats(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
     out = out.withColumn(f"{p}same", F.expr(same))
     s = f"`{p}same`"
     covered = f"IF(size({s}) = 0, 0L, 3L + aggregate(sequence(1, greatest(size({s}) - 1, 1)), 0L, (a, j) -> a + IF(j < size({s}), least(3, {s}[j] - {s}[j - 1]), 0)))"
-    out = out.withColumns(
-        {
-            f"{prefix}n_words": F.size(f"{p}words").cast("long"),
-            f"{prefix}word_chars": _without(text, " \t\n\x0b\x0c\r").cast("long"),
-            f"{prefix}n_symbols": (F.length(text) - _without(text, "#*$%&|<>")).cast("long"),
-            f"{prefix}n_marks": (F.length(text) - _without(text, "!?")).cast("long"),
-            f"{prefix}n_lines": F.size(f"{p}lines").cast("long"),
-            f"{prefix}n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long"),
-            f"{prefix}n_repeat_words": F.expr(covered),
-        }
-    )
-    return out.drop(*(f"{p}{x}" for x in ("words", "lines", "low", "packed", "near", "named", "same")))
+    found = {
+        "n_words": F.size(f"{p}words"),
+        "word_chars": _without(text, " \t\n\x0b\x0c\r"),
+        "n_symbols": F.length(text) - _without(text, "#*$%&|<>"),
+        "n_marks": F.length(text) - _without(text, "!?"),
+        "n_lines": F.size(f"{p}lines"),
+        "n_dup_lines": F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines")),
+        "n_repeat_words": F.expr(covered),
+    }
+    # one generator makes all numbers: a filter on them can't be pushed below it, into the steps above and there written out again and again
+    every = F.explode(F.array(F.struct(*(c.cast("long").alias(x) for x, c in found.items()))))
+    out = out.select(*(F.col(f"`{c}`") for c in docs.columns), every.alias(f"{p}found"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{p}found.{x}").alias(f"{prefix}{x}") for x in STATS))
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -140,6 +141,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col:
     # the first level that rejects a row: the ladders fall, so that a row rejected by one level is rejected by all tighter ones
     n = len(risk.levels)
     first = F.least(*(F.expr(f"{n} - size(filter(ladder_{r}, x -> {r} > x))") for r in RATES))
+    ladder = stored(ladder, "quality-ladder")  # a row for each stratum, broadcast where its stored size allows: a large stratum isn't one task
     counts = rows.join(ladder, "stratum").withColumn("first", first)
     per = []
     for k in range(n):
@@ -164,15 +166,16 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col:
 
 def judged(stats: DataFrame, cuts: DataFrame, stratum_col: str = "lang", prefix: str = "") -> DataFrame:
     """stats with base_failed and kept (prefixed): false where a base rule fails or a rate exceeds its stratum's cutoff."""
-    own = cuts.selectExpr("stratum AS __stratum", *(f"cut_{r} AS __cut_{r}" for r in RATES))
+    stratum, at, cut = f"{prefix}__stratum", f"{prefix}__at", f"{prefix}__cut_"
+    own = cuts.selectExpr(f"stratum AS `{stratum}`", *(f"cut_{r} AS `{cut}{r}`" for r in RATES))
     # a row for each stratum: Spark broadcasts it where its stored size allows, and else joins by sorting
-    out = stats.withColumn("__own", F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))).join(own, F.col("__own") == F.col("__stratum"), "left")
+    out = stats.withColumn(at, F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))).join(own, F.col(at) == F.col(stratum), "left")
     beyond = F.lit(False)
     for r, rate in _rates(prefix).items():
-        beyond = beyond | F.coalesce(rate > F.col(f"__cut_{r}"), F.lit(False))
+        beyond = beyond | F.coalesce(rate > F.col(f"{cut}{r}"), F.lit(False))
     out = out.withColumn(f"{prefix}base_failed", base_failed(prefix))
     out = out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & ~beyond)
-    return out.drop("__own", "__stratum", *(f"__cut_{r}" for r in RATES))
+    return out.drop(at, stratum, *(f"{cut}{r}" for r in RATES))
 
 
 def assess(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
