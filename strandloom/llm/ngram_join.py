@@ -1,14 +1,21 @@
 """Jaccard join of shingle sets by signature trees, and the groups that its links form.
 
-A document's set holds the hashes of its distinct 5-word shingles; documents with equal sets are one node. Two nodes of
-Jaccard similarity t or more share one of the first size - ceil(t * size) + 1 elements of each, in any fixed order of all elements, so
-nodes meet in buckets by such an element; elements that many documents hold come last in that order. In a bucket,
-nodes form a signature tree: by size, each tree node with the OR of its token bitmaps and its range of sizes. Two tree nodes
-are compared by the greatest overlap their members can have; pairs that cannot reach t are pruned with all below them. What is
-left is verified on the whole sets.
-
-Only links between different groups matter, so copies of one text don't meet pair by pair: before, nodes that agree in
-a smallest hash are compared with a few of their bucket (each such link is verified too), and buckets within one group are skipped.
+A document's set holds the hashes of its distinct 5-word shingles; documents with equal sets are one node. Three steps:
+
+1. Who can link at all. In any fixed order of the elements, two nodes of Jaccard similarity t or more share k or more of their first
+   size - ceil(t * size) + k elements. Those are dealt out by element, and a node of which fewer than k are held by another node is done
+   with. An element that several nodes of a task hold leaves the task once, so that passages of many documents make no large groups.
+2. Who can link with whom. The sets of the nodes that are left are ordered by how many of these nodes hold an element, rare ones
+   first; two nodes that link share one of the first size - ceil(t * size) + 1. Nodes that are joined by such elements, through others too,
+   form a unit, and no link leaves a unit.
+3. A unit is a signature tree: nodes ordered by size and least hash in leaves, each tree node with the OR of the token bitmaps below
+   it and its range of sizes. The tree is traversed against itself; pairs of tree nodes whose greatest possible overlap is too small, and those
+   that are one group already, go with all below them. What is left is verified on the whole sets at once, and each link
+   joins two groups, so that a unit gives fewer links than it has nodes.
+
+A unit of more than `chunk` nodes is first cut into trees of nodes that agree in a smallest hash; that finds most links, each
+verified. Then only elements held by two groups or more make units, whose nodes are dealt to cells by size; cells meet pair by pair
+where their sizes can link.
 """
 
 from __future__ import annotations
@@ -19,8 +26,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, drop_stored, released, stored, texts_of
@@ -28,25 +36,31 @@ from .common import arrow_map, drop_stored, released, stored, texts_of
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
-#: Cells in which the elements of a task are counted, and bits of the fixed-size filters that are shipped to the workers.
-_CELLS = 22
+#: Bits of the fixed-size filter that is shipped to the workers (4 MB).
 _FILTER = 25
+#: Elements that a task gathers before it deals them out, and rows of a batch that it hands on.
+_SLICE, _ROWS = 2_000_000, 100_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """words: of a shingle. percent: of the union that the intersection must reach. common: share of documents from which an
-    element is ordered last. chunk: nodes of a bucket that one tree holds; larger buckets are compared chunk by chunk."""
+    """words: of a shingle. percent: of the union that the intersection must reach. extra: one of how many elements more are dealt
+    out in step 1. chunk: nodes that one tree holds. tokens: elements that one tree holds, but for a single larger node."""
 
     words: int = 5
     percent: int = 80
-    common: float = 0.0005
+    extra: int = 10
     chunk: int = 4096
+    tokens: int = 4_000_000
 
     def need(self, size):
         """The least overlap that a set of this size has with any it links to."""
         return (self.percent * size + 99) // 100
 
+    def more(self, size: int) -> int:
+        """k of step 1: how many elements of the dealt ones a partner holds at least."""
+        return min(self.need(size), max(1, size // self.extra))
+
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; of fewer words, one hash of all; without words, none."""
@@ -66,43 +80,12 @@ def _node(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes())
 
 
-def _signed(x) -> np.ndarray:
-    return np.asarray(x, np.uint64).view(np.int64)
-
-
-def _cell(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - _CELLS)).astype(np.int64)
+def _raw(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode())
 
 
-def _members(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Of each row its node and smallest hashes; and the cells that many documents of this task hold."""
-    cells, docs = np.zeros(1 << _CELLS, np.int32), 0
-    names = ["doc_id", "size", "node", "keys", "cell", "count"]
-    for batch in batches:
-        ids, sizes, nodes, keys = batch.column(0), [], [], []
-        for _, texts in texts_of(batch):
-            for text in texts:
-                tokens = shingles(text, rule.words)
-                sizes.append(len(tokens))
-                if not len(tokens):
-                    nodes.append(None)
-                    keys.append(None)
-                    continue
-                np.add.at(cells, _cell(tokens), 1)
-                docs += 1
-                nodes.append(_node(tokens))
-                keys.append([int((tokens * np.uint64(k)).min()) for k in _KEYS])
-        flat = _signed([k for ks in keys for k in (ks or ())])
-        upto = np.cumsum([0, *(3 if k else 0 for k in keys)])
-        lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat, pa.int64()))
-        own = pa.array(_signed([n or 0 for n in nodes]), pa.int64(), mask=np.array([n is None for n in nodes], bool))
-        none = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), own, lists, none, none], names)
-    heavy = np.flatnonzero(cells >= max(6, 0.5 * rule.common * docs))
-    for k in range(0, len(heavy), 10_000):
-        part = heavy[k : k + 10_000]
-        none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(part, pa.int64()), pa.array(cells[part], pa.int64())], names)
+def _signed(x) -> np.ndarray:
+    return np.asarray(x, np.uint64).view(np.int64)
 
 
 def _bits(df: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -115,236 +98,286 @@ def _bits(df: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
-def _has(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    at = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+# Step 1: nodes that share enough of their first elements with any other node
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of the tokens, of eight to sixteen bits for each; trees hold it folded to a quarter."""
-    width = max(1024, 1 << int(8 * len(tokens) - 1).bit_length())
-    at = (tokens & np.uint64(width - 1)).astype(np.int64)
-    out = np.zeros(width, np.uint8)
-    out[at] = 1
-    return np.packbits(out, bitorder="little")
+def _members(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Of each row its node and a hash of its text; where the node is met first in this task, the first elements of its set."""
+    seen: set[int] = set()
+    for batch in batches:
+        sizes, raws, nodes, firsts = [], [], [], []
+        for _, texts in texts_of(batch):
+            for text in texts:
+                tokens = shingles(text, rule.words)
+                n = len(tokens)
+                node = _node(tokens) if n else None
+                sizes.append(n)
+                raws.append(_raw(text))
+                nodes.append(node)
+                firsts.append(tokens[: n - rule.need(n) + rule.more(n)] if n and node not in seen else None)
+                if n:
+                    seen.add(node)
+        upto = np.cumsum([0, *(0 if x is None else len(x) for x in firsts)])
+        flat = pa.array(_signed(np.concatenate([np.empty(0, np.uint64), *(x for x in firsts if x is not None)])))
+        lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat, mask=pa.array([x is None for x in firsts], pa.bool_()))
+        own = pa.array(_signed([n or 0 for n in nodes]), pa.int64(), mask=np.array([n is None for n in nodes], bool))
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(raws)), own, lists]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "raw", "node", "first"])
+
+
+def _in_batches(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    for at in range(0, whole.num_rows, _ROWS):
+        yield whole.slice(at, _ROWS)
+
+
+def _offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, count): an element that one node of the slice holds, with that node and 0; an element that several hold, with
+    null and 0; and for each node that holds some of the latter, twice the node and how many."""
+
+    def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        nodes, lengths, elements = (np.concatenate(x) for x in zip(*held, strict=True))
+        first = np.zeros(len(nodes), bool)  # a node that two tasks have met counts once
+        first[np.unique(nodes, return_index=True)[1]] = True
+        owners, elements = np.repeat(nodes, lengths)[np.repeat(first, lengths)], elements[np.repeat(first, lengths)]
+        order = np.argsort(elements, kind="stable")
+        elements, owners = elements[order], owners[order]
+        same = elements[1:] == elements[:-1]
+        several = np.append(False, same) | np.append(same, False)
+        marks = np.unique(elements[several])
+        holders, counts = np.unique(owners[several], return_counts=True)
+        keys = np.concatenate([elements[~several], marks, holders])
+        none = np.zeros(len(keys), bool)
+        none[len(keys) - len(holders) - len(marks) : len(keys) - len(holders)] = True
+        who = np.concatenate([owners[~several], np.zeros(len(marks), np.int64), holders])
+        count = np.concatenate([np.zeros(len(keys) - len(holders), np.int32), counts.astype(np.int32)])
+        yield from _in_batches([pa.array(keys), pa.array(who, mask=none), pa.array(count)], ["key", "node", "count"])
+
+    held, total = [], 0
+    for batch in batches:
+        lists = batch.column("first")
+        held.append((batch.column("node").to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy()))
+        total += len(held[-1][2])
+        if total >= _SLICE:
+            yield from dealt(held)
+            held, total = [], 0
+    if held:
+        yield from dealt(held)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _offers come by key: (node, how many of its elements another node holds), in parts to be summed. A key has a row for each slice at most."""
+
+    def counted(keys, nodes, none):
+        marks, keys, nodes = np.unique(keys[none]), keys[~none], nodes[~none]
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        once = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]
+        keys, nodes = keys[once], nodes[once]
+        _, at, each = np.unique(keys, return_inverse=True, return_counts=True)
+        holders, counts = np.unique(nodes[(each[at] > 1) | np.isin(keys, marks)], return_counts=True)
+        yield from _in_batches([pa.array(holders), pa.array(counts.astype(np.int64))], ["node", "shared"])
+
+    left = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+    for batch in batches:
+        key, node, count = batch.columns
+        own = count.to_numpy() > 0
+        yield from _in_batches([node.filter(pa.array(own)), count.filter(pa.array(own)).cast(pa.int64())], ["node", "shared"])
+        now = key.to_numpy()[~own], node.fill_null(0).to_numpy()[~own], node.is_null().to_numpy(zero_copy_only=False)[~own]
+        now = tuple(np.concatenate(x) for x in zip(left, now, strict=True))
+        cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last key may go on
+        yield from counted(*(x[:cut] for x in now))
+        left = tuple(x[cut:] for x in now)
+    yield from counted(*left)
+
 
+# Step 2: the sets of these nodes, and the units that rare elements join
 
-def _routed(batches: Iterator[pa.RecordBatch], rule: Rule, common, shared) -> Iterator[pa.RecordBatch]:
-    """Of each node met first in this task: its elements by which it is routed, its signature, and its set if another may agree in a smallest hash."""
+
+def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, wanted) -> Iterator[pa.RecordBatch]:
+    """The sets of texts whose hash the filter may hold, each once for a task, with the smallest hashes by each key."""
     seen: set[int] = set()
-    names = ["node", "size", "keys", "route", "signature", "tokens"]
+    bitmap, low = wanted.value, (1 << _FILTER) - 1
     for batch in batches:
         for _, texts in texts_of(batch):
             rows = []
             for text in texts:
-                tokens = shingles(text, rule.words)
-                if not len(tokens) or (node := _node(tokens)) in seen:
+                at = _raw(text) & low
+                if not bitmap[at >> 3] >> (at & 7) & 1 or not len(tokens := shingles(text, rule.words)) or (node := _node(tokens)) in seen:
                     continue
                 seen.add(node)
-                late = _has(common.value, _cell(tokens).astype(np.uint64), _CELLS)
-                n = len(tokens) - rule.need(len(tokens)) + 1
-                route = np.concatenate([tokens[~late], tokens[late]])[:n]
-                keys = np.array([(tokens * np.uint64(k)).min() for k in _KEYS], np.uint64)
-                alike = _has(shared.value, keys, _FILTER).any()
-                rows.append((node, len(tokens), keys, route, signature(tokens).tobytes(), tokens.tobytes() if alike else None))
-            if not rows:
-                continue
-            node, size, keys, route, signs, sets = zip(*rows, strict=True)
-            listed = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(_signed(np.concatenate(x)), pa.int64())) for x in (keys, route)]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(node), pa.int64()), pa.array(size, pa.int64()), *listed, pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names)
+                rows.append((node, len(tokens), [int((tokens * np.uint64(k)).min()) for k in _KEYS], tokens.tobytes()))
+            if rows:
+                node, size, keys, sets = zip(*rows, strict=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(_KEYS), pa.int32()), pa.array(_signed(keys).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(node)), pa.array(size, pa.int64()), lists, pa.array(sets, pa.binary())], ["node", "size", "keys", "tokens"])
 
 
-def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= rule.percent * (len(a) + len(b) - both)
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (element, node) for each element of each set."""
+    for batch in batches:
+        nodes, sets = batch.column("node").to_numpy(), batch.column("tokens")
+        for at in range(0, len(nodes), 256):
+            part = [np.frombuffer(x, np.int64) for x in sets.slice(at, 256).to_pylist()]
+            yield from _in_batches([pa.array(np.concatenate(part)), pa.array(np.repeat(nodes[at : at + 256], [len(x) for x in part]))], ["element", "node"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch], rule: Rule, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by key: a node is linked to the first of the bucket's up to so many leaders that it matches, or leads itself."""
-    key, leaders = None, []
-    for batch in batches:
-        out = []
-        for k, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != key:
-                key, leaders = k, []
-            tokens = np.frombuffer(raw, np.uint64)
-            for lead, own in leaders:
-                if node == lead:
-                    break
-                if rule.need(max(len(own), len(tokens))) <= min(len(own), len(tokens)) and linked(own, tokens, rule):
-                    out.append((node, lead))
-                    break
-            else:
-                if len(leaders) < most:
-                    leaders.append((node, tokens))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["node", "lead"])
+def _held(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows come by element: (node, element, how many nodes hold it) of those with two holders or more. From `most` holders on, all count
+    as so many, so that no more have to be gathered."""
 
+    def told(keys, nodes):
+        _, at, each = np.unique(keys, return_inverse=True, return_counts=True)
+        n = np.minimum(each[at], most)
+        n[keys == long] = most
+        several = n > 1
+        yield from _in_batches([pa.array(nodes[several]), pa.array(keys[several]), pa.array(n[several].astype(np.int32))], ["node", "element", "holders"])
 
-class Tree:
-    """A signature tree: nodes by size in leaves, each level the OR of up to eight below it, folded to the narrowest bitmap."""
+    long, left = None, (np.empty(0, np.int64), np.empty(0, np.int64))
+    for batch in batches:
+        keys, nodes = (np.concatenate([a, b.to_numpy()]) for a, b in zip(left, batch.columns, strict=True))
+        cut = np.searchsorted(keys, keys[-1]) if len(keys) else 0
+        yield from told(keys[:cut], nodes[:cut])
+        left = keys[cut:], nodes[cut:]
+        if len(left[0]) >= most or len(left[0]) and left[0][0] == long:
+            long = left[0][0]
+            yield from told(*left)
+            left = np.empty(0, np.int64), np.empty(0, np.int64)
+    yield from told(*left)
 
-    LEAF, FAN = 16, 8
 
-    def __init__(self, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, signs: list[bytes]):
-        order = np.lexsort((groups, sizes))
-        self.nodes, self.groups, self.sizes = nodes[order], groups[order], sizes[order]
-        signs = [np.frombuffer(signs[i], np.uint8) for i in order]
-        self.signs = signs
-        self.leaves, level = [], []
-        for a in range(0, len(order), self.LEAF):
-            b = min(a + self.LEAF, len(order))
-            width = min(len(s) for s in signs[a:b])
-            self.leaves.append(np.stack([self.fold(s, width) for s in signs[a:b]]))
-            level.append((np.bitwise_or.reduce(self.leaves[-1], 0), self.span(a, b, width), (a, b)))
-        self.levels = [level]
-        while len(level) > 1:
-            above = []
-            for k in range(0, len(level), self.FAN):
-                part = level[k : k + self.FAN]
-                width = min(len(x[0]) for x in part)
-                a, b = part[0][2][0], part[-1][2][1]
-                above.append((np.bitwise_or.reduce([self.fold(x[0], width) for x in part]), self.span(a, b, width), (a, b)))
-            level = above
-            self.levels.append(level)
-
-    def span(self, a: int, b: int, width: int) -> tuple[int, int, int, int | None]:
-        """Least and greatest size, the most tokens beyond a member's bits at this width, and the one group of all, or None."""
-        slack = max(int(n) - int(np.bitwise_count(self.fold(s, width)).sum(dtype=np.int64)) for n, s in zip(self.sizes[a:b], self.signs[a:b], strict=True))
-        one = bool((self.groups[a:b] == self.groups[a]).all())
-        return int(self.sizes[a]), int(self.sizes[b - 1]), slack, int(self.groups[a]) if one else None
-
-    @staticmethod
-    def fold(sign: np.ndarray, width: int) -> np.ndarray:
-        """A bitmap of fewer bits: an element's bit is then given by fewer of its low bits."""
-        return np.bitwise_or.reduce(sign.reshape(-1, width), 0) if len(sign) > width else sign
-
-
-def traverse(left: Tree, right: Tree, rule: Rule) -> Iterator[tuple[int, int]]:
-    """Dual traversal: pairs of nodes of different groups whose greatest possible overlap suffices. left may be right."""
-    t, same = rule.percent, left is right
-    stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
-    while stack:
-        i, a, j, b = stack.pop()
-        one, two = left.levels[i][a], right.levels[j][b]
-        (lo, hi, slack, group), (low, high, loose, other) = one[1], two[1]
-        if 100 * hi < t * low or 100 * high < t * lo or group is not None and group == other:
-            continue
-        width = min(len(one[0]), len(two[0]))
-        common = int(np.bitwise_count(Tree.fold(one[0], width) & Tree.fold(two[0], width)).sum(dtype=np.int64))
-        # overlap o of sizes x and y suffices if (100 + t) * o >= t * (x + y); tokens beyond their bits may all be common
-        if (100 + t) * min(hi, high, common + min(slack, loose) + _folded(one, two, width)) < t * (lo + low):
-            continue
-        if i == 0 and j == 0:
-            yield from _leaf_pairs(left, a, right, b, rule, same)
-        elif i >= j and i > 0:
-            stack += [(i - 1, k, j, b) for k in range(a * Tree.FAN, min((a + 1) * Tree.FAN, len(left.levels[i - 1]))) if not same or _after(left, i - 1, k, j, b)]
-        else:
-            stack += [(i, a, j - 1, k) for k in range(b * Tree.FAN, min((b + 1) * Tree.FAN, len(right.levels[j - 1]))) if not same or _after(left, i, a, j - 1, k)]
+# Step 3: signature trees
 
 
-def _after(tree: Tree, i: int, a: int, j: int, b: int) -> bool:
-    """Within one tree, a pair is met in one order only: the left part begins no later than the right one ends."""
-    return tree.levels[i][a][2][0] < tree.levels[j][b][2][1]
+def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
+    if rule.need(max(len(a), len(b))) > min(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= rule.percent * (len(a) + len(b) - both)
 
 
-def _folded(one, two, width: int) -> int:
-    """Where one side is folded for the comparison, its tokens beyond their bits aren't known: then only sizes prune."""
-    return max(one[1][1], two[1][1]) if len(one[0]) != width or len(two[0]) != width else 0
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of the tokens, of sixteen to thirty-two bits for each."""
+    width = max(128, 1 << int(16 * len(tokens) - 1).bit_length())
+    out = np.zeros(width, np.uint8)
+    out[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little")
 
 
-def _leaf_pairs(left: Tree, a: int, right: Tree, b: int, rule: Rule, same: bool) -> Iterator[tuple[int, int]]:
-    (p, q), (r, s) = left.levels[0][a][2], right.levels[0][b][2]
-    x, y = left.leaves[a], right.leaves[b]
-    width = min(x.shape[1], y.shape[1])
-    x, y = (z if z.shape[1] == width else np.bitwise_or.reduce(z.reshape(len(z), -1, width), 1) for z in (x, y))
-    common = np.bitwise_count(x[:, None, :] & y[None, :, :]).sum(2, dtype=np.int64)
-    m, n = left.sizes[p:q, None], right.sizes[None, r:s]
-    slack = m - np.bitwise_count(x).sum(1, dtype=np.int64)[:, None], n - np.bitwise_count(y).sum(1, dtype=np.int64)[None, :]
-    most = np.minimum(np.minimum(m, n), common + np.minimum(*slack))
-    ok = ((100 + rule.percent) * most >= rule.percent * (m + n)) & (left.groups[p:q, None] != right.groups[None, r:s])
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        if not same or p + i < r + j:
-            yield int(left.nodes[p + i]), int(right.nodes[r + j])
+def _fold(sign: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of fewer bytes: an element's bit is then given by fewer of its low bits."""
+    return np.bitwise_or.reduce(sign.reshape(-1, width), 0) if len(sign) > width else sign
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Rows come by unit: (bucket, one chunk, another, side, node, group, size, signature). A unit holds two chunks at most."""
-    unit, rows = None, []
-    for batch in batches:
-        out = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != unit:
-                out += _unit(rows, rule)
-                unit, rows = row[:3], []
-            rows.append(row[3:])
-        yield _pairs(out)
-    yield _pairs(_unit(rows, rule))
+class Tree:
+    """The rows from `start` to `end` of a unit, or the part of it below one tree node."""
 
+    LEAF, FAN = 16, 8
 
-def _pairs(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
+    def __init__(self, sizes: np.ndarray, signs: list[np.ndarray], start: int, end: int):
+        self.start, self.end, own = start, end, sizes[start:end]
+        self.low, self.high = int(own.min()), int(own.max())
+        self.sizes, self.width, self._at = own, min(len(s) for s in signs[start:end]), {}
+        step = self.LEAF
+        while step * self.FAN < end - start:
+            step *= self.FAN
+        self.parts = [] if end - start <= self.LEAF else [Tree(sizes, signs, a, min(a + step, end)) for a in range(start, end, step)]
+        self.signs = [] if self.parts else signs[start:end]
+
+    def at(self, width: int) -> tuple:
+        """At a width in bytes: the OR of all bitmaps below, and the most tokens of one row beyond its bits; of a leaf, also each row's."""
+        if width not in self._at:
+            if self.parts:
+                below = [p.at(width) for p in self.parts]
+                self._at[width] = np.bitwise_or.reduce([x[0] for x in below]), max(x[1] for x in below)
+            else:
+                rows = np.stack([_fold(s, width) for s in self.signs])
+                slack = self.sizes - np.bitwise_count(rows).sum(1, dtype=np.int64)
+                self._at[width] = np.bitwise_or.reduce(rows, 0), int(slack.max()), rows, slack
+        return self._at[width]
 
 
-def _unit(rows: list[tuple], rule: Rule) -> list[tuple[int, int]]:
-    trees = []
-    for side in (0, 1):
-        own = [r for r in rows if r[0] == side]
-        if own:
-            trees.append(Tree(*(np.array([r[k] for r in own], np.int64) for k in (1, 2, 3)), [r[4] for r in own]))
-    return list(traverse(trees[0], trees[-1], rule)) if trees else []
+def traverse(one: Tree, two: Tree, rule: Rule, labels: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Dual traversal: pairs of rows with different labels whose greatest possible overlap suffices. two may be one; labels may change meanwhile.
 
+    Overlap o of sizes x and y suffices if (100 + t) * o >= t * (x + y); o is at most what the bitmaps share and the tokens beyond their bits.
+    """
+    t, stack = rule.percent, [(one, two)]
+    while stack:
+        a, b = stack.pop()
+        if 100 * a.high < t * b.low or 100 * b.high < t * a.low:
+            continue
+        group = labels[a.start]
+        if (labels[a.start : a.end] == group).all() and (labels[b.start : b.end] == group).all():
+            continue
+        width = min(a.width, b.width)
+        x, y = a.at(width), b.at(width)
+        common = int(np.bitwise_count(x[0] & y[0]).sum(dtype=np.int64))
+        if (100 + t) * min(a.high, b.high, common + min(x[1], y[1])) < t * (a.low + b.low):
+            continue
+        if not a.parts and not b.parts:
+            common = np.bitwise_count(x[2][:, None, :] & y[2][None, :, :]).sum(2, dtype=np.int64)
+            m, n = a.sizes[:, None], b.sizes[None, :]
+            ok = (100 + t) * np.minimum(np.minimum(m, n), common + np.minimum(x[3][:, None], y[3][None, :])) >= t * (m + n)
+            if a is b:
+                ok = np.triu(ok, 1)
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                if labels[a.start + i] != labels[b.start + j]:
+                    yield a.start + int(i), b.start + int(j)
+        elif a is b:
+            stack += [(p, q) for k, p in enumerate(a.parts) for q in a.parts[k + 1 :]]
+            stack += [(p, p) for p in a.parts]  # taken first: what is near joins first
+        elif not b.parts or a.parts and a.end - a.start >= b.end - b.start:
+            stack += [(p, b) for p in a.parts]
+        else:
+            stack += [(a, q) for q in b.parts]
 
-def _folded_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = (np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Tree.fold(x, len(x) // 4).tobytes() for x in raw], pa.binary())], ["node", "signature"])
 
+def forest(rows: list[tuple[int, int, int, bytes]], rule: Rule) -> list[tuple[int, int]]:
+    """Of a unit's rows (side, node, group, tokens), verified links between different groups, as few as connect what is connected.
 
-def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Of candidate pairs (a, b, their sizes and signatures), those whose greatest overlap by the unfolded bitmaps suffices."""
-    for batch in batches:
-        keep = []
-        for a, b, m, n, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            width = min(len(x), len(y))
-            x, y = Tree.fold(x, width), Tree.fold(y, width)
-            count = lambda z: int(np.bitwise_count(z).sum(dtype=np.int64))
-            most = min(m, n, count(x & y) + min(m - count(x), n - count(y)))
-            if (100 + rule.percent) * most >= rule.percent * (m + n):
-                keep.append((a, b))
-        yield _pairs(keep)
-
-
-def _only(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = _has(wanted.value, batch.column("node").to_numpy().view(np.uint64), _FILTER)
-        yield batch.filter(pa.array(keep))
+    With one side, its rows meet each other; with two, those of one meet those of the other.
+    """
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    band = [int(np.log(len(s)) * 4) for s in sets]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], band[i], sets[i][0], rows[i][1]))
+    rows, sets = [rows[i] for i in order], [sets[i] for i in order]
+    sizes, signs = np.array([len(s) for s in sets], np.int64), [signature(s) for s in sets]
+    first = sum(r[0] == 0 for r in rows)
+    trees = [Tree(sizes, signs, a, b) for a, b in ((0, first), (first, len(rows))) if a < b]
+    _, labels = np.unique([r[2] for r in rows], return_inverse=True)
+    out = []
+    for i, j in traverse(trees[0], trees[-1], rule, labels):
+        if labels[i] != labels[j] and linked(sets[i], sets[j], rule):
+            out.append((rows[i][1], rows[j][1]))
+            labels[labels == labels[i]] = labels[j]
+    return out
 
 
-def _of_wanted(df: DataFrame, wanted) -> DataFrame:
-    """The rows whose node a bitmap may hold."""
-    return df.mapInArrow(functools.partial(_only, wanted=wanted), df.schema)
+def _links(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Rows come by unit: (unit, cells, side, node, group, tokens)."""
+    unit, rows = None, []
 
+    def found():
+        out = forest(rows, rule) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, wanted) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
     for batch in batches:
-        for _, texts in texts_of(batch):
-            rows = []
-            for text in texts:
-                tokens = shingles(text, rule.words)
-                if len(tokens) and (node := _node(tokens)) not in seen and _has(wanted.value, np.array([node], np.uint64), _FILTER)[0]:
-                    seen.add(node)
-                    rows.append((node, tokens.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed([r[0] for r in rows]), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "tokens"])
+        units = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        rest = [batch.column(k) for k in range(2, 6)]
+        for at in range(0, len(units), 256):
+            for own, *row in zip(units[at : at + 256], *(c.slice(at, 256).to_pylist() for c in rest), strict=True):
+                if own != unit:
+                    yield found()
+                    unit, rows = own, []
+                rows.append(tuple(row))
+    yield found()
 
 
-def _verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), rule) for p, q in zip(x, y, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], ["a", "b"])
+def _by_trees(units: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) of rows (unit, cells, side, node, group, tokens)."""
+    laid = units.select("unit", "cells", "side", "node", "group", "tokens").repartition("unit", "cells").sortWithinPartitions("unit", "cells")
+    return arrow_map(laid, functools.partial(_links, rule=rule), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -358,85 +391,115 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = stored(both.join(least, "a").filter("b > a").selectExpr("b AS a", "m AS b").filter("a <> b").distinct(), "join-large")
+        drop_stored(edges)
         down = large.selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a")
         small = stored(small.selectExpr("b AS a", "m AS b").unionAll(least.selectExpr("a", "m AS b")).filter("a <> b").distinct(), "join-small")
+        drop_stored(large)
         if (now := state(small)) == was:  # each node but a root points at its root
             return small.selectExpr("a AS node", "b AS root")
         edges, was = small, now
 
 
+def _able(met: DataFrame, rule: Rule) -> DataFrame:
+    """node, size, raw: the nodes that step 1 leaves, with the hash of one of their texts."""
+    offered = arrow_map(met.select("node", "first").filter("first IS NOT NULL"), _offers, "key long, node long, count int")
+    counts = arrow_map(offered.repartition("key").sortWithinPartitions("key"), _met, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    nodes = met.filter("node IS NOT NULL").groupBy("node").agg(F.min("size").alias("size"), F.min("raw").alias("raw"))
+    able = nodes.join(counts, "node").filter(F.expr(f"shared >= least(({rule.percent} * size + 99) DIV 100, greatest(1, size DIV {rule.extra}))"))
+    return stored(able.select("node", "size", "raw"), "join-able")
+
+
+def _routes(sets: DataFrame, rule: Rule) -> DataFrame:
+    """element, node: the first size - need + 1 elements of each set, rare ones first, as far as another set holds them."""
+    dealt = arrow_map(sets.select("node", "tokens"), _elements, "element long, node long").repartition("element").sortWithinPartitions("element")
+    held = arrow_map(dealt, _held, "node long, element long, holders int").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "element"))).alias("held"))
+    # of the first size - need + 1, those that no other set holds come before
+    first = F.expr(f"slice(held, 1, greatest(0, size(held) - ({rule.percent} * size + 99) DIV 100 + 1))")
+    return stored(held.join(sets.select("node", "size"), "node").select("node", F.explode(first).alias("of")).select("of.element", "node"), "join-routes")
+
+
+def _large(routes: DataFrame, sets: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """Units of elements that two groups or more hold, for nodes whose first units were too large for one tree.
+
+    groups: node, group. Elements with the same nodes count once. Where an element has more nodes than a tree holds, its nodes are dealt to cells, by
+    a band of sizes and a hash, and each cell meets itself and those of its band and of the next one.
+    """
+    own = routes.join(groups, "node")
+    kept = own.groupBy("element").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.bit_xor(F.xxhash64("node")).alias("alike"), F.count("*").alias("n")).filter("least < most")
+    kept = kept.groupBy("alike", "n").agg(F.min("element").alias("unit")).select("unit")
+    rows = own.join(kept, F.col("element") == F.col("unit")).join(sets.select("node", "size", "tokens"), "node")
+    # sizes that link differ by no more than one band
+    band = F.floor(F.log("size") / F.log(F.lit(100 / min(rule.percent, 99))))
+    rows = rows.select("unit", "node", "group", "size", "tokens", band.alias("band"))
+    cells = rows.groupBy("unit", "band").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    whole = cells.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).selectExpr("unit", f"n <= {rule.chunk} AND tokens <= {rule.tokens} AS whole")
+    cells = cells.join(whole, "unit").selectExpr("unit", "band", f"IF(whole, 0, CAST(greatest(ceil(2 * n / {rule.chunk}), ceil(2 * tokens / {rule.tokens})) AS INT)) AS parts")
+    after = cells.selectExpr("unit", "band - 1 AS band", "parts AS after")
+    before = cells.selectExpr("unit", "band + 1 AS band", "parts AS before")
+    cells = cells.join(after, ["unit", "band"], "left").join(before, ["unit", "band"], "left")
+    rows = rows.join(cells, ["unit", "band"]).withColumn("part", F.expr("IF(parts = 0, 0, pmod(xxhash64(node), parts))"))
+    # (cells, side) of each meeting that a row takes part in; a cell is band:part
+    me = "concat(band, ':', part)"
+    within = f"transform(filter(sequence(0, parts - 1), k -> k <> part), k -> IF(part < k, struct(concat({me}, '+', k) AS cells, 0 AS side), struct(concat(band, ':', k, '+', part) AS cells, 1 AS side)))"
+    up = f"IF(after IS NULL, array(), transform(sequence(0, after - 1), k -> struct(concat({me}, '/', k) AS cells, 0 AS side)))"
+    down = "IF(before IS NULL, array(), transform(sequence(0, before - 1), k -> struct(concat(band - 1, ':', k, '/', part) AS cells, 1 AS side)))"
+    meets = F.expr(f"IF(parts = 0, array(struct('' AS cells, 0 AS side)), concat(array(struct({me} AS cells, 0 AS side)), {within}, {up}, {down}))")
+    return rows.withColumn("meets", F.explode(meets)).select("unit", "meets.cells", "meets.side", "node", "group", "tokens")
+
+
+def _all_links(able: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that connect what similarity connects, of the nodes that step 1 leaves."""
+    context = rows.sparkSession.sparkContext
+    wanted = context.broadcast(_bits(able, "raw", _FILTER))
+    sets = arrow_map(rows.select("text"), functools.partial(_sets, rule=rule, wanted=wanted), "node long, size long, keys array<long>, tokens binary")
+    sets = stored(sets.join(able.select("node"), "node", "left_semi").dropDuplicates(["node"]), "join-sets")
+    released(rows.sparkSession)
+    routes = _routes(sets, rule)
+    released(rows.sparkSession)
+
+    ends = routes.groupBy("element").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("element", "b")
+    roots = components(routes.join(ends, "element").selectExpr("node AS a", "b"))
+    placed = routes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    units = placed.join(sets, "node")
+    fits = units.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("all")).filter("n > 1").selectExpr("root", f"n <= {rule.chunk} AND all <= {rule.tokens} AS fits")
+    fits = stored(fits, "join-units")
+    units = units.join(fits, "root")
+    laid = units.filter("fits").selectExpr("root AS unit", "'' AS cells", "0 AS side", "node", "node AS group", "tokens")
+    if any_large := not fits.filter("NOT fits").isEmpty():
+        large = units.filter("NOT fits")
+        keyed = large.select("node", "size", "tokens", F.posexplode("keys").alias("k", "unit"))
+        parts = large.select("size", F.posexplode("keys").alias("k", "unit")).groupBy("k", "unit").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+        parts = parts.filter("n > 1").selectExpr("k", "unit", f"CAST(greatest(ceil(n / {rule.chunk}), ceil(all / {rule.tokens})) AS INT) AS parts")
+        laid = laid.unionAll(keyed.join(parts, ["k", "unit"]).selectExpr("unit", "concat(k, ':', pmod(xxhash64(node, k), parts)) AS cells", "0 AS side", "node", "node AS group", "tokens"))
+    links = stored(_by_trees(laid, rule), "join-links")
+    if any_large:
+        inside = placed.join(fits.filter("NOT fits"), "root").select("node")
+        own = components(links)
+        groups = inside.join(own, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+        links = links.unionAll(stored(_by_trees(_large(routes, sets, groups, rule), rule), "join-large-links"))
+    links = stored(links, "join-all-links")
+    for done in (sets, routes, fits):
+        drop_stored(done)
+    return links
+
+
 def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
 
     Null texts and those without words have no shingle and link with nothing, whatever their id. A null id is never the smallest
     of a group unless all are null. Repeated rows are linked like copies. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    context = spark.sparkContext
     rows = docs.selectExpr(f"CAST({id_col} AS BIGINT) doc_id", f"{text_col} text")
-    met = "doc_id long, size long, node long, keys array<long>, cell long, count long"
-    met = stored(arrow_map(rows, functools.partial(_members, rule=rule), met), "join-members")
-    members = met.filter("cell IS NULL").select("doc_id", "size", "node", "keys")
-    nodes = members.filter("node IS NOT NULL")
-    n = nodes.count()
-    heavy = met.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("n")).filter(F.col("n") >= max(64, rule.common * n))
-    alike = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
-    common, shared = context.broadcast(_bits(heavy, "cell", _CELLS)), context.broadcast(_bits(alike, "key", _FILTER))
-    step = functools.partial(_routed, rule=rule, common=common, shared=shared)
-    routed = stored(arrow_map(rows, step, "node long, size long, keys array<long>, route array<long>, signature binary, tokens binary"), "join-routed")
-
-    # verified links to the leaders of buckets by each smallest hash in turn; buckets of nodes that all have got a leader are left out
-    led, light = None, routed.select("node", "keys")
-    for k in range(len(_KEYS)):
-        if led is not None:
-            light = light.join(led, "node", "left_anti")
-        own = light.select("node", F.col("keys")[k].alias("key"))
-        several = own.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
-        # only sets whose bucket holds another node are dealt out; a bitmap of fixed size tells which
-        wanted = context.broadcast(_bits(own.join(several, "key", "left_semi"), "node", _FILTER))
-        sets = _of_wanted(routed.selectExpr("node", f"keys[{k}] AS key", "tokens").filter("tokens IS NOT NULL"), wanted)
-        dealt = sets.repartition(F.col("key")).sortWithinPartitions("key", "node").select("key", "node", "tokens")
-        found = stored(arrow_map(dealt, functools.partial(_stars, rule=rule, most=8), "node long, lead long").groupBy("node").agg(F.min("lead").alias("lead")), "join-stars")
-        led = found if led is None else led.unionAll(found)
-        released(spark)
-    own = components(led.selectExpr("node AS a", "lead AS b"))
-
-    # buckets by routed elements, of at least two groups; equal buckets count once
-    placed = routed.groupBy("node").agg(F.first("size").alias("size"), F.first("route").alias("route")).join(own, "node", "left").select("node", "size", "route", F.coalesce("root", "node").alias("group"))
-    dealt = placed.select("node", "size", "group", F.explode("route").alias("element"))
-    by = Window.partitionBy("element")
-    dealt = dealt.withColumns({"least": F.min("group").over(by), "most": F.max("group").over(by), "bucket": F.bit_xor(F.xxhash64("node")).over(by)})
-    mixed = dealt.filter("least < most").select("bucket", "node", "size", "group").distinct()
-    ranked = mixed.withColumn("chunk", F.expr(f"CAST((row_number() OVER (PARTITION BY bucket ORDER BY size, node) - 1) DIV {rule.chunk} AS INT)"))
-    ranked = stored(ranked, "join-buckets")
-    released(spark)
-    # chunks of a bucket meet where their sizes can: each chunk goes to the units (one, another), as the left or the right side
-    spans = ranked.groupBy("bucket", "chunk").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    one, two = spans.alias("p"), spans.alias("q")
-    units = one.join(two, F.expr(f"p.bucket = q.bucket AND p.chunk <= q.chunk AND 100 * p.hi >= {rule.percent} * q.lo")).selectExpr("p.bucket AS bucket", "p.chunk AS one", "q.chunk AS two")
-    sides = units.selectExpr("bucket", "one AS chunk", "one", "two", "0 AS side").unionAll(units.filter("one < two").selectExpr("bucket", "two AS chunk", "one", "two", "1 AS side"))
-    small = arrow_map(routed.select("node", "signature"), _folded_signs, "node long, signature binary").groupBy("node").agg(F.first("signature").alias("signature"))
-    laid = sides.join(ranked, ["bucket", "chunk"]).join(small, "node").select("bucket", "one", "two", "side", "node", "group", "size", "signature")
-    laid = laid.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    pairs = stored(arrow_map(laid, functools.partial(_candidates, rule=rule), "a long, b long").distinct(), "join-candidates")
-    wanted = context.broadcast(_bits(pairs.selectExpr("explode(array(a, b)) AS node"), "node", _FILTER))
-    signs = _of_wanted(routed.select("node", "size", "signature"), wanted).groupBy("node").agg(F.first("size").alias("size"), F.first("signature").alias("signature"))
-    one, two = (signs.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("signature").alias(f"sign_{k}")) for k in "ab")
-    signed = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "sign_a", "sign_b")
-    pairs = stored(arrow_map(signed, functools.partial(_near, rule=rule), "a long, b long"), "join-pairs")
-    drop_stored(routed)
-    released(spark)
-
-    links = led.selectExpr("node AS a", "lead AS b")
-    if not pairs.isEmpty():
-        wanted = context.broadcast(_bits(pairs.selectExpr("explode(array(a, b)) AS node"), "node", _FILTER))
-        sets = arrow_map(rows, functools.partial(_sets, rule=rule, wanted=wanted), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-        sets = stored(sets.join(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "node", "left_semi"), "join-sets")
-        both = pairs.join(sets.selectExpr("node AS a", "tokens AS x"), "a").join(sets.selectExpr("node AS b", "tokens AS y"), "b").select("a", "b", "x", "y")
-        links = links.unionAll(stored(arrow_map(both, functools.partial(_verified, rule=rule), "a long, b long"), "join-links"))
-    roots = components(links)
+    met = stored(arrow_map(rows, functools.partial(_members, rule=rule), "doc_id long, size long, raw long, node long, first array<long>"), "join-met")
+    members = stored(met.select("doc_id", "size", "node"), "join-members")
+    able = _able(met, rule)
+    drop_stored(met)
+    released(docs.sparkSession)
+    roots = components(_all_links(able, rows, rule))
+    drop_stored(able)
+    released(docs.sparkSession)
     whole = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = whole.join(least, "root", "left")

@@ -54,20 +54,40 @@ def made():
     return list(enumerate(rows, 100)) + [(None, "a b c"), (None, "alone here"), (100, rows[0]), (100, rows[40])]
 
 
-@pytest.mark.parametrize("chunk", [4096, 3])
-def test_groups(spark, chunk):
+@pytest.mark.parametrize("rule", [J.Rule(), J.Rule(chunk=3), J.Rule(chunk=20, tokens=900)])
+def test_groups(spark, rule):
     rows = made()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, size string").repartition(5)
-    got = sorted((tuple(r) for r in J.groups(docs, J.Rule(chunk=chunk)).collect()), key=str)
+    got = sorted((tuple(r) for r in J.groups(docs, rule).collect()), key=str)
     assert got == brute(rows)
 
 
+def test_an_element_of_many_nodes():
+    key = np.repeat([3, 5, 8, 9], [1, 40, 2, 30])
+    batches = [J.pa.RecordBatch.from_arrays([J.pa.array(key[a : a + 7]), J.pa.array(np.arange(len(key))[a : a + 7])], ["element", "node"]) for a in range(0, len(key), 7)]
+    out = [tuple(r.values()) for b in J._held(iter(batches), most=25) for r in b.to_pylist()]
+    assert out == [(i, k, min(25, int((key == k).sum()))) for i, k in enumerate(key.tolist()) if k != 3]
+
+
 def test_nothing(spark):
     assert J.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def connected(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        root[find(i)] = find(j)
+    return [min(k for k in range(n) if find(k) == find(i)) for i in range(n)]
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_the_traversal_loses_no_pair(seed):
+def test_trees_connect_what_is_linked(seed):
     rng, rule = np.random.default_rng(seed), J.Rule()
     base = [rng.integers(0, 1 << 63, rng.choice([5, 60, 64, 130, 700]), np.uint64) for _ in range(6)]
     sets = []
@@ -75,13 +95,29 @@ def test_the_traversal_loses_no_pair(seed):
         own = base[rng.integers(6)].copy()
         own[rng.random(len(own)) < rng.choice([0.0, 0.03, 0.1, 0.2])] = rng.integers(1 << 62)
         sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 63, rng.integers(8), np.uint64)])))
-    of = lambda part: J.Tree(np.array(part), np.array(part) % 40, np.array([len(sets[i]) for i in part]), [J.Tree.fold(s := J.signature(sets[i]), len(s) // 4).tobytes() for i in part])
-    left, right = of(list(range(90))), of(list(range(90, 150)))
-    for one, two, rows, others in ((left, left, range(90), range(90)), (left, right, range(90), range(90, 150))):
-        found = {tuple(sorted(x)) for x in J.traverse(one, two, rule)}
-        want = {(i, j) for i in rows for j in others if i < j and i % 40 != j % 40 and J.linked(sets[i], sets[j], rule)}
-        assert want <= found
-        assert len(found) < 0.8 * len(rows) * len(others)
+    true = [(i, j) for i in range(150) for j in range(i) if J.linked(sets[i], sets[j], rule)]
+    found = J.forest([(0, i, i, s.tobytes()) for i, s in enumerate(sets)], rule)
+    assert connected(150, found) == connected(150, true) and len(found) < 150 and {tuple(sorted(x)[::-1]) for x in found} <= set(true)
+    # two sides meet each other only; nodes of a group are known to be connected
+    groups = [(k, k + 40) for k in range(110)]
+    across = [(i, j) for i, j in true if (i < 90) != (j < 90)]
+    found = J.forest([(int(i >= 90), i, i % 40, s.tobytes()) for i, s in enumerate(sets)], rule)
+    assert connected(150, found + groups) == connected(150, across + groups) and set(map(tuple, map(sorted, found))) <= set(map(tuple, map(sorted, across)))
+
+
+def test_traversal_prunes():
+    rng, rule = np.random.default_rng(1), J.Rule()
+    sets = [rng.integers(0, 1 << 63, 300, np.uint64) for _ in range(512)]
+    signs, sizes = [J.signature(s) for s in sets], np.full(512, 300)
+    tree = J.Tree(sizes, signs, 0, 512)
+    assert list(J.traverse(tree, tree, rule, np.arange(512))) == []
+    met = [0]
+    at = J.Tree.at
+    J.Tree.at = lambda self, width: (met.__setitem__(0, met[0] + 1), at(self, width))[1]
+    try:
+        assert list(J.traverse(tree, tree, rule, np.zeros(512, int))) == [] and met[0] == 0  # one group already
+    finally:
+        J.Tree.at = at
 
 
 def test_query(spark):
