@@ -500,10 +500,13 @@ def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
     roots = components(_all_links(able, rows, rule))
     drop_stored(able)
     released(docs.sparkSession)
-    whole = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = whole.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = whole.join(least, "root", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # the smallest id is found for nodes, then for groups, and told to nodes, so that no copy or member of a group is dealt out by its group
+    nodes = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")).join(roots, "node", "left")
+    nodes = stored(nodes.select("node", F.coalesce("root", "node").alias("root"), "own"), "join-nodes")
+    least = stored(nodes.groupBy("root").agg(F.min("own").alias("least")), "join-least")
+    least = stored(nodes.join(least, "root").select("node", "least"), "join-found")
+    drop_stored(nodes)
+    return members.join(least, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
