@@ -32,6 +32,8 @@ IBAN_LENGTHS = {
     x[:2]: int(x[2:])
     for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()
 }
+#: Fixed value: the calling codes of one and two digits; all others have three.
+COUNTRY_CODE = "^(1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98|[0-9]{3})"
 #: An even number of rounds, so that both halves change equally often.
 ROUNDS = 10
 
@@ -131,9 +133,10 @@ def _date(m: str, key: str) -> str:
 
 
 def _phone(m: str, key: str) -> str:
-    code = f"regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)"
-    rest = f"substr({m}, length({code}) + 1)"
-    return _with(f"regexp_replace({rest}, '[^0-9]', '')", "d", f"IF(length(d) BETWEEN 7 AND 15, concat({code}, {_with(digits('d', key, 'phone'), 'n', refilled(rest, 'n'))}), {m})")
+    """After a plus the country code stays, whatever separates it, and the national number is permuted; without one, all digits are that number."""
+    new = _with(digits("substr(d, length(code) + 1)", key, "phone"), "n", refilled(m, "concat(code, n)"))
+    body = _with(f"IF(left({m}, 1) = '+', regexp_extract(d, '{COUNTRY_CODE}', 0), '')", "code", f"IF(length(d) BETWEEN 7 AND 15 AND length(d) - length(code) >= 6, {new}, {m})")
+    return _with(f"regexp_replace({m}, '[^0-9]', '')", "d", body)
 
 
 def pseudonym(m: str, key: str) -> str:
@@ -189,15 +192,16 @@ def mask(docs: DataFrame, key: str, text_col: str = "text", count_col: str | Non
     """
     if not key:
         raise ValueError("a key is needed")
+    found_in, again_in = (next(n for n in (f"__pii_{k}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for k in ("found", "again"))
     found, between = pseudonymised(f"`{text_col}`", key)
-    out = docs.withColumn("__pii_found", F.coalesce(found, F.expr("array()")))
+    out = docs.withColumn(found_in, F.coalesce(found, F.expr("array()")))
     parts = f"transform(split(`{text_col}`, {_quoted(_CUT)}, -1), t -> IF(t RLIKE '[0-9@]', {_again('t', key)}, named_struct('o', t, 'n', 0, 'skip', 0)))"
-    out = out.withColumn("__pii_again", F.expr(f"IF(exists(__pii_found, x -> x.old = x.new), {parts}, NULL)"))
-    new = F.expr("transform(__pii_found, x -> x.new)")
+    out = out.withColumn(again_in, F.expr(f"IF(exists(`{found_in}`, x -> x.old = x.new), {parts}, NULL)"))
+    new = F.expr(f"transform(`{found_in}`, x -> x.new)")
     pieces = F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda p, n: F.concat(p, n))
-    again = F.col("__pii_again").isNotNull()
-    text = F.when(again, F.expr("array_join(transform(__pii_again, x -> x.o), '')")).when(F.size("__pii_found") > 0, F.array_join(pieces, ""))
+    again = F.col(again_in).isNotNull()
+    text = F.when(again, F.expr(f"array_join(transform(`{again_in}`, x -> x.o), '')")).when(F.size(found_in) > 0, F.array_join(pieces, ""))
     out = out.withColumn(text_col, text.otherwise(F.col(text_col)))
     if count_col:
-        out = out.withColumn(count_col, F.expr("CAST(IF(__pii_again IS NOT NULL, aggregate(__pii_again, 0, (s, x) -> s + x.n), size(filter(__pii_found, x -> x.old <> x.new))) AS BIGINT)"))
-    return out.drop("__pii_found", "__pii_again")
+        out = out.withColumn(count_col, F.expr(f"CAST(IF(`{again_in}` IS NOT NULL, aggregate(`{again_in}`, 0, (s, x) -> s + x.n), size(filter(`{found_in}`, x -> x.old <> x.new))) AS BIGINT)"))
+    return out.drop(found_in, again_in)

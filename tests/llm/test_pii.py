@@ -1,5 +1,7 @@
 import datetime
+import hashlib
 import ipaddress
+import random
 import re
 
 import pytest
@@ -35,6 +37,95 @@ def test_each_kind_keeps_its_format(spark):
     assert masked(spark, olds, "other") != out
 
 
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def feistel(left, right, a, b, kind, key=KEY):
+    """The network in plain Python."""
+    for i in range(1, pii.ROUNDS + 1):
+        below, value = (a, right) if i % 2 else (b, left)
+        move = int(sha(key + sha(f"{key}|{kind}|{i}|{below}|{value}"))[:15], 16) % below
+        left, right = ((left + move) % a, right) if i % 2 else (left, (right + move) % b)
+    return left, right
+
+
+def permuted(d, kind):
+    h = len(d) // 2
+    left, right = feistel(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), kind)
+    return f"{left:0{h}}{right:0{len(d) - h}}"
+
+
+def filled(shape, new):
+    new = iter(new)
+    return "".join(next(new) if c.isdigit() else c for c in shape)
+
+
+def plain(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "card":
+        head = permuted(d[:-1], "card")
+        return filled(m, head + next(c for c in "0123456789" if luhn(head + c)))
+    if kind == "phone":
+        code = re.match(pii.COUNTRY_CODE, d)[0] if m[0] == "+" else ""
+        return filled(m, code + permuted(d[len(code) :], "phone"))
+    if kind == "iban":
+        x = m.replace(" ", "")
+        body = filled(x[4:], permuted(re.sub("[^0-9]", "", x[4:]), "iban"))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + x[:2] + "00")) % 97
+        new = iter(f"{x[:2]}{check:02}{body}")
+        return "".join(c if c == " " else next(new) for c in m)
+    if kind == "ip":
+        p = [int(x) for x in m.split(".")]
+        left, right = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if kind == "ssn":
+        area, group, serial = map(int, m.split("-"))
+        left, right = feistel((area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 88902, 9999, "ssn")
+        area = left // 99
+        return f"{area + (2 if area >= 665 else 1):03}-{left % 99 + 1:02}-{right + 1:04}"
+    if kind == "date":
+        form = "%Y{0}%m{0}%d" if m[:4].isdigit() else "%d{0}%m{0}%Y"
+        form = form.format(m[4] if m[:4].isdigit() else m[2])
+        days = (datetime.datetime.strptime(m, form) - datetime.datetime(1900, 1, 1)).days
+        left, right = feistel(days // 4297, days % 4297, 17, 4297, "date")
+        return (datetime.datetime(1900, 1, 1) + datetime.timedelta(left * 4297 + right)).strftime(form)
+    return f"user-{sha(KEY + sha(f'{KEY}|email|{m.lower()}'))[:16]}@example.invalid"
+
+
+def test_against_a_plain_network(spark):
+    rng = random.Random(4)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    rows = []
+    for _ in range(12):
+        head = number(rng.choice([12, 14, 15, 18]))
+        rows.append(("card", head + next(c for c in "0123456789" if luhn(head + c))))
+        body = number(18)
+        rows.append(("iban", f"DE{98 - int(body + '131400') % 97:02}{body}"))
+        rows.append(("ip", ".".join(str(rng.randrange(256)) for _ in range(4))))
+        rows.append(("ssn", f"{rng.choice([1, 665, 667, 899, rng.randrange(1, 660)]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}"))
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))
+        rows.append(("date", day.strftime(rng.choice(["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d/%m/%Y"]))))
+        rows.append(("phone", rng.choice(["+1", "+44", "+49", "+420", "+7"]) + rng.choice(["", " ", "-"]) + number(3) + rng.choice(["", " ", "-"]) + number(4)))
+        rows.append(("phone", f"{number(3)}-{number(3)}-{number(4)}"))
+        rows.append(("email", f"n{number(4)}.X@mail.example.com"))
+    assert masked(spark, [m for _, m in rows]) == [plain(k, m) for k, m in rows]
+
+
+def test_phones_keep_their_country_and_stay_linked(spark):
+    forms = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1-555-123-4567", "555-123-4567"]
+    out = [re.sub("[^0-9]", "", x) for x in masked(spark, forms)]
+    assert len({x[-10:] for x in out}) == 1 and out[0][-10:] != "5551234567" and all(x[0] == "1" and len(x) == 11 for x in out[:4])
+    long, spaced, short = masked(spark, ["+442071234567", "+44 20 7123 4567", "+420 601 234 567"])
+    assert long.startswith("+44") and re.sub(" ", "", spaced) == long and short.startswith("+420 ")
+
+
+def test_columns_with_the_names_in_use(spark):
+    docs = spark.createDataFrame([(1, "ssn 078-05-1120", "a", 7)], "doc_id long, text string, __pii_found0 string, __pii_again0 int")
+    out = pii.mask(docs, KEY).first()
+    assert (out[2], out[3]) == ("a", 7) and "078-05-1120" not in out.text
+
+
 def test_what_is_not_valid_or_null_stays(spark):
     texts = ["4225039295678254", "2023-02-30", "000-12-3456", "999.1.1.1", "DE89370400440532013001", "no data", "", None, "1.2.3", "a@b", "price 12345", "x" * 50_000]
     assert masked(spark, texts) == texts
