@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,44 +17,42 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, texts_of
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Of zstandard, chosen on documents from which dictionaries are learned; a test does so again.
+LEVEL = 9
 #: What all dictionaries together may take where they are shipped to the workers.
 MAX_BYTES = 64 << 20
 
 
-def learn(docs: DataFrame, per_lang: int = 200, dict_bytes: int = 96 << 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def learn(docs: DataFrame, per_lang: int = 200, dict_bytes: int = 96 << 10, longest: int = 24 << 10, beginning: int = 6 << 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language, from a bounded sample: the whole texts of up to per_lang documents, those whose hashed
-    ids are smallest, as long as they fit in dict_bytes; texts over dict_bytes / 4 bytes are left out, but a language that has
-    no others learns from the beginnings, of dict_bytes / 16 characters, of those. Null ids, texts and languages teach nothing. ValueError where the
-    languages' dictionaries would take more than MAX_BYTES.
+    ids are smallest, as long as they fit in dict_bytes. Texts of over `longest` bytes are left out, but a language that has
+    no others learns from the first `beginning` characters of those. Null ids, texts and languages teach nothing. Of rows with one id and
+    length, one counts. ValueError where the languages' dictionaries would take more than MAX_BYTES.
     """
     rows = docs.selectExpr(f"{id_col} id", f"{text_col} text", f"{lang_col} lang").filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    rows = rows.withColumn("rank", F.xxhash64(F.col("id").cast("string"), F.octet_length("text"))).withColumn("short", F.octet_length("text") <= dict_bytes // 4)
+    rows = rows.withColumn("rank", F.xxhash64(F.col("id").cast("string"), F.octet_length("text"))).withColumn("short", F.octet_length("text") <= longest)
     langs = rows.groupBy("lang").agg(F.bool_or("short").alias("short")).limit(MAX_BYTES // dict_bytes + 1).collect()
     if len(langs) > MAX_BYTES // dict_bytes:
         raise ValueError(f"more than {MAX_BYTES // dict_bytes} languages")
     rows = rows.filter(F.col("short") | F.col("lang").isin([r.lang for r in langs if not r.short]))
-    rows = rows.withColumn("text", F.when(F.col("short"), F.col("text")).otherwise(F.substring("text", 1, dict_bytes // 16))).drop("short")
-    # no more than per_lang rows of a language leave a task
+    rows = rows.withColumn("text", F.when(F.col("short"), F.col("text")).otherwise(F.substring("text", 1, beginning)))
+    # no more than per_lang rows of a language leave a task, and numbers only reach the driver, which takes what fits
     first = Window.partitionBy("lang").orderBy("rank", "id")
-    chosen = rows.select("lang", "rank", "id").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= per_lang)
-    cut = chosen.groupBy("lang").agg(F.max("rank").alias("most"))
-    limits = {r.lang: r.most for r in cut.collect()}
-    if not limits:
-        return {}
-    kept = functools.reduce(lambda a, b: a | b, [(F.col("lang") == k) & (F.col("rank") <= v) for k, v in limits.items()])
-    texts: dict[str, list] = {}
-    for r in rows.filter(kept).collect():  # per_lang texts of dict_bytes / 4 at most, for each language
-        texts.setdefault(r.lang, []).append((r.rank, r.id, r.text.lower().encode()))
-    out = {}
-    for lang, found in texts.items():
-        chosen, size = [], 0
-        for _, _, text in sorted(found):
-            if size + len(text) < dict_bytes:
-                chosen.append(text)
-                size += len(text) + 1
-        out[lang] = b"\n".join(chosen)
-    return dict(sorted(out.items()))
+    ranked = rows.select("lang", "rank", "id", F.octet_length("text").alias("size")).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= per_lang)
+    taken, room = [], {}
+    for r in sorted(ranked.select("lang", "rank", F.col("id").cast("string").alias("id"), "size").distinct().collect(), key=lambda r: (r.lang, r.rank, r.id)):
+        if room.setdefault(r.lang, dict_bytes) > r.size:
+            taken.append((r.lang, r.rank, r.id))
+            room[r.lang] -= r.size + 1
+    if not taken:
+        return {lang: b"" for lang in sorted(room)}
+    # the texts taken are within dict_bytes for each language
+    chosen = docs.sparkSession.createDataFrame(taken, "lang string, rank long, id string")
+    found = rows.withColumn("id", F.col("id").cast("string")).join(F.broadcast(chosen), ["lang", "rank", "id"]).groupBy("lang", "rank", "id").agg(F.min("text").alias("text")).collect()
+    out: dict[str, bytes] = {lang: b"" for lang in room}
+    for r in sorted(found, key=lambda r: (r.lang, r.rank, r.id)):
+        out[r.lang] += r.text.lower().encode() + b"\n"
+    return {lang: raw.removesuffix(b"\n")[:dict_bytes] for lang, raw in sorted(out.items())}
 
 
 class Classifier:
@@ -70,7 +67,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language and by what share its result is smaller than the second; und where there is no letter."""
-        if not self.langs or text is None or not _LETTER.search(text):
+        if not self.langs or text is None or not any(map(str.isalpha, text)):
             return "und", 0.0
         raw = text.lower().encode()
         sizes = sorted((len(f(raw)), k) for k, f in enumerate(self.of))
@@ -91,10 +88,10 @@ def _classify(batches: Iterator[pa.RecordBatch], dictionaries, digest: str, leve
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "rejected"])
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document: doc_id, lang_pred, score (share by which the best beats the second, 0 to 1), rejected (score under margin).
 
-    A null text or one without a letter is und with score 0; equal sizes go to the language that sorts first; without
+    A null text or one without a letter (general category L) is und with score 0; equal sizes go to the language that sorts first; without
     dictionaries all is und. Repeated rows are classified each; an empty table gives an empty result; other columns are ignored.
     """
     digest = hashlib.sha256(repr((level, dictionaries)).encode()).hexdigest()

@@ -1,5 +1,10 @@
+import unicodedata
 import zlib
 
+import zstandard
+
+from pyspark.sql import functions as F
+
 from strandloom.llm import language_id, queries
 
 
@@ -13,6 +18,41 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_level_on_learning_documents(spark):
+    """The level of production is no worse than others on documents that are learned from, a quarter of which is set aside."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").cache()
+    aside = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 = 3").join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id")
+    known = language_id.learn(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 3"))
+    truth = dict(docs.select("doc_id", "lang").collect())
+    right = {}
+    for level in (3, language_id.LEVEL, 15):
+        rows = language_id.identify(aside.drop("true"), known, level=level).filter("lang_pred <> 'und'").collect()
+        right[level] = sum(r.lang_pred == truth[r.doc_id] for r in rows) / len(rows)
+    assert right[language_id.LEVEL] >= max(right.values()) - 0.005 and right[language_id.LEVEL] >= 0.97, right
+
+
+def test_against_a_plain_loop(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = rows.unionAll(spark.createDataFrame([(-1, "\u00bd \u00b2 \u2167"), (-2, "\u00aa"), (-3, "12 \u02b0"), (-4, "a" * 300_000), (-5, "\u4e2d")], "doc_id long, text string"))
+    known = language_id.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(rows, known).collect()}
+    for i, text in rows.collect():
+        sizes = []
+        for lang, raw in known.items():
+            own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append((len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=own, write_content_size=False).compress((text or "").lower().encode())), lang))
+        sizes.sort()
+        letters = any(unicodedata.category(c)[0] == "L" for c in text or "")
+        assert got[i] == ((sizes[0][1], 1 - sizes[0][0] / sizes[1][0]) if letters else ("und", 0.0)), (i, sizes)
+    assert got[-1][0] == "und" and got[-2][0] != "und" and got[-3][0] != "und" and got[-5][0] != "und"
+
+
+def test_dictionaries_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 500, "en") for i in range(300)] + [(1, "word1 " * 500, "en")], "doc_id long, text string, lang string")
+    assert 90_000 < len(language_id.learn(docs)["en"]) <= 96 << 10
+    assert len(language_id.learn(docs, per_lang=3)["en"]) < 12_000 and len(language_id.learn(docs, dict_bytes=10_000)["en"]) <= 10_000
+
+
 def test_language_of_long_texts_only(spark):
     rows = [(1, "der die das und nicht " * 3000, "de"), (2, "the and that with from " * 20, "en"), (3, "le la les et pas " * 5000, "fr"), (4, "the end " * 9000, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
