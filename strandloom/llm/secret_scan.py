@@ -1,7 +1,8 @@
 """Secret scan: fixed shapes, and strings that a model of random text explains better than a model of identifiers.
 
 Two first-order character Markov models, of random strings and of ordinary identifiers, are trained from labelled samples.
-A long run of key characters outside the fixed shapes is reported where its log-likelihood ratio for each character is high enough.
+A long run of key characters outside the fixed shapes is reported where its log-likelihood ratio for each character is high enough,
+whether it holds digits or not.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def spans_of(text: str | None, model: Model | None) -> list[tuple[int, str, int]
     if model is not None and b"x" * model.least_length in raw.translate(_IN_RUN):
         for m in re.finditer(f"[{re.escape(_ALPHABET)}]{{{model.least_length},}}", text):
             a, b = m.span()
-            if any(c.isdigit() for c in m[0]) and not any(s < b and a < e for s, _, e in out) and model.score(m[0]) >= model.least_score:
+            if not any(s < b and a < e for s, _, e in out) and model.score(m[0]) >= model.least_score:
                 out.append((a, "random", b))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 

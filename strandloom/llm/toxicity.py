@@ -32,16 +32,20 @@ class Model:
     weights: dict[bytes, float]
 
     def probabilities(self, text: str | None) -> np.ndarray:
-        x = sum(map(self.weights.__getitem__, self.weights.keys() & features(text)))
+        return self.of(features(text))
+
+    def of(self, words: set[bytes]) -> np.ndarray:
+        x = sum(map(self.weights.__getitem__, self.weights.keys() & words))
         below = 1 / (1 + np.exp(np.clip(x - np.array(self.thresholds), -500, 500)))
         return np.diff(np.concatenate([[0.0], below, [1.0]]))
 
 
-def fit(rows: list[tuple[int, set[bytes]]], population: dict[int, int] | None = None, most: int = 5000, least: int = 3, l2: float = 1e-3, l1: float = 2e-4, rounds: int = 400) -> Model:
+def fit(rows: list[tuple[int, set[bytes]]], population: dict[int, int] | None = None, most: int = 5000, least: int = 3, l2: float = 1e-4, l1: float = 3e-4, rounds: int = 400) -> Model:
     """Fits the model on (grade, features). population: how many rows each grade has in all, where the sample has other shares.
 
     Features are words of at least so many rows, the most informative ones by mutual information with the grade. The fit is
-    accelerated gradient descent with a soft threshold on weights; thresholds stay ordered as sums of positive steps.
+    adaptive gradient descent; after each step, weights give way by l1 at the pace of that step, so that words that tell
+    nothing get none. Thresholds stay ordered as sums of positive steps.
     """
     grades = sorted({g for g, _ in rows})
     if len(grades) < 2:
@@ -87,28 +91,54 @@ def fit(rows: list[tuple[int, set[bytes]]], population: dict[int, int] | None =
         dstep = np.concatenate([[dtheta.sum()], [dtheta[k:].sum() * np.exp(step[k]) for k in range(1, len(theta))]])
         g = np.concatenate([np.bincount(col, dx[row], len(w)) + l2 * w, dstep])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        pace = 0.05 / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        move = pace * m / (1 - 0.9**t)
         w, step = w - move[: len(w)], step - move[len(w) :]
-        w = np.sign(w) * np.maximum(np.abs(w) - 0.05 * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - pace[: len(w)] * l1, 0)
     theta = step[0] + np.concatenate([[0.0], np.cumsum(np.exp(step[1:]))])
     return Model(tuple(grades), tuple(theta.tolist()), {b: float(w[i]) for b, i in number.items() if abs(w[i]) > 1e-4})
 
 
+def chosen_l1(rows: list[tuple[int, set[bytes]]], population: dict[int, int] | None = None, offered: tuple[float, ...] = (1e-4, 3e-4, 1e-3, 3e-3), folds: int = 3, rounds: int = 200) -> float:
+    """Of the offered strengths of l1, the one under which rows that a fit hasn't seen are likeliest, each grade by its share of the population."""
+    grades = sorted({g for g, _ in rows})
+    sample = {g: sum(x == g for x, _ in rows) for g in grades}
+    if min(sample.values()) < 2 * folds:
+        return offered[len(offered) // 2]
+    found = []
+    for l1 in offered:
+        total = 0.0
+        for k in range(folds):
+            own = fit([r for i, r in enumerate(rows) if i % folds != k], population, l1=l1, rounds=rounds)
+            for g, words in rows[k::folds]:
+                share = (population or sample).get(g, sample[g]) / sample[g]
+                total += share * float(np.log(max(1e-9, own.of(words)[own.grades.index(g)])))
+        found.append(total)
+    return offered[int(np.argmax(found))]
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_grade: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", grade_col: str = "toxic") -> Model:
-    """Fits on a bounded sample: up to per_grade labelled documents of each grade, those whose hashed ids are smallest.
+    """Fits on a bounded sample: up to per_grade labelled documents of each grade, those whose hashed ids are smallest; the strength
+    of l1 comes from cross-validation on it.
 
     Null labels and ids, ids whose labels differ and null texts teach nothing. The grades' shares are those of all labels.
     """
     truth = labels.selectExpr(f"{label_id} AS __id", f"CAST({grade_col} AS INT) AS __grade").filter("__id IS NOT NULL AND __grade IS NOT NULL")
     truth = truth.groupBy("__id").agg(F.min("__grade").alias("__grade"), F.max("__grade").alias("__other")).filter("__grade = __other")
     population = {r[0]: r[1] for r in truth.groupBy("__grade").count().collect()}  # a row for each grade
-    first = Window.partitionBy("__grade").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id")
+    truth = truth.select("__id", "__grade", F.xxhash64(F.col("__id").cast("string")).alias("__hash"))
+    # of a large grade, only the part of the hashes that holds three times as many rows as needed is sorted
+    parts = {g: per_grade * 3 / n for g, n in population.items() if n > 3 * per_grade}
+    for g, part in parts.items():
+        truth = truth.filter((F.col("__grade") != g) | (F.col("__hash") < F.lit(int((part * 2 - 1) * (1 << 63)))))
+    first = Window.partitionBy("__grade").orderBy("__hash", "__id")
     chosen = truth.withColumn("__at", F.row_number().over(first)).filter(F.col("__at") <= per_grade).select("__id", "__grade")
     # at most per_grade rows for each grade: the size of what is broadcast is bounded by parameters
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text IS NOT NULL").join(F.broadcast(chosen), "__id")
     words = F.array_distinct(F.split(F.lower("__text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
     found = rows.groupBy("__id").agg(F.first("__grade").alias("grade"), F.first(words).alias("words"))
-    return fit(sorted(((r.grade, frozenset(w.encode() for w in r.words if w)) for r in found.collect()), key=lambda x: (x[0], sorted(x[1]))), population)
+    own = sorted(((r.grade, frozenset(w.encode() for w in r.words if w)) for r in found.collect()), key=lambda x: (x[0], sorted(x[1])))
+    return fit(own, population, l1=chosen_l1(own, population))
 
 
 def _grade(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
