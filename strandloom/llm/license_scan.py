@@ -21,7 +21,7 @@ from .common import arrow_map, texts_of
 _WORD = re.compile(r"[^\W_]+")
 #: What parts words, but not by ASCII alone.
 _PARTS = re.compile(r"[^\x00-\x7f\w]")
-#: Public licence notices, as they are printed in files and texts.
+#: Public licence notices, as they are printed in files and texts.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "mit-line": "Released under the MIT License.",
@@ -66,6 +66,7 @@ class Index:
     def __post_init__(self):
         s = self.settings
         self.words = {name: [self.number.setdefault(w.encode(), len(self.number) + 1) for w in _words(t)] for name, t in self.templates.items()}
+        self.counts = {name: np.bincount(ids, minlength=len(self.number) + 1) for name, ids in self.words.items()}
         self.of: dict[int, list[tuple[str, int]]] = {}
         self.any = set()
         for name, ids in self.words.items():
@@ -116,12 +117,12 @@ class Index:
         for name, own in hits.items():
             size = len(self.words[name])
             band = min(self.settings.band, size // 4) + size // 10
-            last = None
+            done = None
             for diagonal, _ in sorted(own):
-                if last is not None and diagonal <= last + band:
+                if done is not None and diagonal <= done:
                     continue
-                last = diagonal
-                if (one := self.aligned(ids, name, diagonal, band)) and one[0] >= self.settings.least * size:
+                done = diagonal + 2 * band  # up to there, a hit's own band lies within the one that is aligned
+                if (one := self.aligned(ids, name, diagonal + band, 2 * band)) and one[0] >= self.settings.least * size:
                     found.append((one[0], name, one[0] / size, places[one[1]][0], places[one[2]][1]))
         out: list = []
         for matched, name, coverage, a, b in sorted(found, key=lambda x: (-x[0], x[3], x[1])):
@@ -130,10 +131,17 @@ class Index:
         return sorted(out, key=lambda x: x[3])
 
     def aligned(self, ids: np.ndarray, name: str, diagonal: int, band: int) -> tuple[int, int, int] | None:
-        """Banded global alignment of a template along a diagonal: matched words, and the first and last matched word of the text."""
+        """Banded global alignment of a template along a diagonal: matched words, and the first and last matched word of the text; None where too few can match."""
         own = self.words[name]
+        for d in range(max(0, diagonal - band), diagonal + band + 1):  # no other alignment matches more than a whole one
+            if d < len(ids) and ids[d] == own[0] and ids[d : d + len(own)].tolist() == own:
+                return len(own), d, d + len(own) - 1
         low = max(0, diagonal - band)
-        part = ids[low : max(0, diagonal + len(own) + band)].tolist()
+        part = ids[low : max(0, diagonal + len(own) + band)]
+        # each word matches at most as often as both sides hold it
+        if np.minimum(np.bincount(part, minlength=len(self.number) + 1), self.counts[name]).sum() < self.settings.least * len(own):
+            return None
+        part = part.tolist()
         shift = diagonal - low
         # best[j]: (matched words, minus the gaps, first, last) after template word i and text word j, inside the band only
         # where the text begins or ends inside the template, the band stays at its edge and the rest of the template counts as gaps

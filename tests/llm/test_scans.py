@@ -39,6 +39,33 @@ def test_base_spans_stay_and_the_model_adds(spark, model):
     assert secret_scan.scan(docs.limit(0), model).count() == 0
 
 
+def test_random_spans_against_a_plain_scan(model):
+    rng = random.Random(8)
+    keys = [c for c in secret_scan._ALPHABET]
+    parts = ["the_quick_brown_fox_jumps", "com/example/project/module", "é", " ", "\n", "token = ", "AKIA", "x" * 30]
+    found = 0
+    for _ in range(300):
+        text = "".join(rng.choice([*parts, "".join(rng.choices(rng.choice([keys, keys[:26], keys[26:52], keys[52:62]]), k=rng.randrange(10, 45))) + rng.choice([" ", ".", ""])]) for _ in range(6))
+        fixed = [tuple(int(x) for x in w.split(":")[1:]) for w in base(text)]
+        want, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in secret_scan._ALPHABET:
+                end += 1
+            if end - at >= 20 and not any(a < end and at < b for a, b in fixed):
+                ratio, last = 0.0, len(keys)
+                for c in text[at:end]:
+                    ratio += model.ratio[last][keys.index(c)]
+                    last = keys.index(c)
+                if ratio / (end - at) >= 0.7:
+                    want.append((at, "random", end))
+            at = end + 1
+        assert [x for x in secret_scan.spans_of(text, model) if x[1] == "random"] == want
+        found += len(want)
+    assert found > 100
+    assert [k for _, k, _ in secret_scan.spans_of("key qZvXkWjPbGtRfMzNwLdYhC here", model)] == ["random"]  # without a digit
+
+
 def test_held_out_accuracy(model):
     held = [x for x in secret_scan.labelled(["network", "Handler", "buffer", "release", "parser", "window", "context", "stream"] * 40, n=400, seed=5) if len(x[0]) >= 20]
     right = sum((model.score("".join(c for c in t if c in secret_scan._ALPHABET)) >= model.least_score) == y for t, y in held)
@@ -91,6 +118,49 @@ def test_licence_cut_by_the_text(spark):
         assert coverage < 0.8 or found.get((k, name), 0) >= coverage, (k, name, coverage, found)
 
 
+def test_licences_against_whole_alignments():
+    """Banded alignment finds what alignment at every place of a small text finds, as long as edits keep within the band."""
+    rng = random.Random(6)
+    index = license_scan.Index(license_scan.TEMPLATES, license_scan.Settings())
+
+    def best(words, own):
+        row = [(0, 0)] * (len(words) + 1)
+        for i in range(1, len(own) + 1):
+            now = [(row[0][0], row[0][1] - 1)]
+            for j in range(1, len(words) + 1):
+                m, g = row[j - 1]
+                now.append(max((row[j][0], row[j][1] - 1), (now[-1][0], now[-1][1] - 1), (m + 1, g) if words[j - 1] == own[i - 1] else (m, g - 2)))
+            row = now
+        return max(row)[0]
+
+    checked = 0
+    for name, template in license_scan.TEMPLATES.items():
+        own = license_scan._words(template)
+        for _ in range(6):
+            words = list(own)
+            for _ in range(rng.randrange(0, 2 + len(own) // 12)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], [f"odd{at}"], [words[at], f"more{at}"]])
+            around = [[rng.choice(["of", "the", "license", "this", "zebra", *own]) for _ in range(rng.randrange(8))] for _ in range(2)]
+            whole = any(words[k : k + 4] == own[j : j + 4] for k in range(len(words) - 3) for j in range(len(own) - 3))
+            words = around[0] + words + around[1]
+            matched = best(words, own)
+            found = {n: m for n, _, m, _, _ in index.matches(" ".join(words))}
+            if matched >= 0.8 * len(own) and whole and not any(n != name for n in found):
+                assert found.get(name) == matched, (name, words)
+                checked += 1
+            elif matched < 0.8 * len(own):
+                assert name not in found
+    assert checked > 20
+    for _ in range(40):  # a chance hit on the diagonal before takes nothing away
+        name = rng.choice(["mit", "apache-2.0-notice", "isc"])
+        own = license_scan._words(license_scan.TEMPLATES[name])
+        band = min(4, len(own) // 4) + len(own) // 10
+        at, shift = rng.randrange(len(own) - 3), rng.randrange(1, band)
+        words = ["zebra"] * 5 + own[at : at + 3] + ["zebra"] * (at and 0) + own[: len(own) // 2] + ["odd"] * shift + own[len(own) // 2 :]
+        assert {n: c for n, c, *_ in index.matches(" ".join(words))}.get(name) == 1.0
+
+
 def test_licence_query(spark):
     d = "/root/testdata/sf0.01"
     docs = dict(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
@@ -114,6 +184,29 @@ def test_ordinal_fit_orders_grades():
         toxicity.fit(rows[:1])
 
 
+def test_grades_against_a_plain_loop(spark):
+    model = toxicity.Model((0, 1, 3), (0.5, 2.0), {b"bad": 1.5, b"worse": 2.25, b"kind": -1.0, "stra\u00dfe".encode(): 0.5})
+    texts = ["bad", "bad bad", "BAD, worse!", "kind", "", None, "Stra\u00dfe worse", "worse " * 40_000, "bad-worse.kind", "badly"]
+    rows = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)] + [(None, "bad", 9), (0, "bad", 9)], "doc_id long, text string, expected_severity int")
+    got = [tuple(r) for r in toxicity.grade(rows, model).collect()]
+    want = []
+    for r in rows.collect():
+        words = {w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (r.text or "").lower()) if w}
+        x = sum(v for k, v in model.weights.items() if k.decode() in words)
+        below = [1 / (1 + np.exp(x - t)) for t in model.thresholds] + [1.0]
+        mean = sum(g * (b - a) for g, b, a in zip(model.grades, below, [0, *below], strict=False))
+        want.append((r.doc_id, next(g for g, b in zip(model.grades, below, strict=True) if b >= 0.5), pytest.approx(mean)))
+    assert got == want
+
+
+def test_learning_skips_what_teaches_nothing(spark):
+    docs = spark.createDataFrame([(i, "awful words" if i % 3 == 0 else "fine words", "x") for i in range(60)] + [(None, "awful", "x"), (60, None, "x"), (0, "awful words", "x")], "doc_id long, text string, __grade string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 5) for i in range(60)] + [(None, 1, 5), (60, 1, 5), (3, 0, 5), (6, None, 5)], "doc_id long, toxic int, grade int")
+    for per_grade in (1500, 5):
+        model = toxicity.learn(docs, labels, per_grade=per_grade)
+        assert model.grades == (0, 1) and model.weights[b"awful"] > 0 and b"words" not in model.weights
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
