@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
 from strandloom.storage import numbered, stored
 
 SYMBOLS = "ACGTN"
+#: Bases of a stored piece of the text, and of the seeds by which longer segments are looked up.
+PIECE, SEED = 4096, 16
 
 
 def suffix_array(bases: DataFrame, first: int = 8) -> DataFrame:
@@ -85,6 +87,7 @@ class Index:
     bwt: DataFrame
     ranks: DataFrame
     c: DataFrame
+    text: DataFrame
     length: int
     block_size: int
 
@@ -99,34 +102,83 @@ class Index:
         size = block_size or max(64, root + (root * root < n))
         bases = stored(bases.select("position", dna.sanitized("base").alias("base")), "index-bases")
         bwt = stored(transform(suffix_array(bases), bases), "index-bwt")
-        return cls(bases, bwt, stored(ranks(bwt, size), "index-ranks"), stored(c_table(bwt), "index-c"), n + 1, size)
+        pieces = bases.groupBy(F.floor(F.col("position") / PIECE).alias("piece")).agg(F.sort_array(F.collect_list(F.struct("position", "base"))).alias("x"))
+        pieces = stored(pieces.select("piece", F.array_join("x.base", "").alias("text")), "index-text")
+        return cls(bases, bwt, stored(ranks(bwt, size), "index-ranks"), stored(c_table(bwt), "index-c"), pieces, n + 1, size)
 
     @property
     def num_blocks(self) -> int:
         return -(-self.length // self.block_size)
 
 
-def kmers(index: Index, longest: int) -> DataFrame:
-    """kmer, lower, upper: the interval of each text of the reference of up to so many bases."""
-    words = index.bases.select(F.explode(F.expr(f"transform(sequence(0, {longest - 1}), k -> struct(position - k AS pos, k, base))")).alias("x")).select("x.*").filter("pos >= 0")
-    built = words.groupBy("pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "base"))), lambda x: x["base"]), "").alias("word"))
-    each = built.select("pos", F.explode(F.expr("transform(sequence(1, length(word)), k -> left(word, k))")).alias("kmer"))
-    return each.join(index.bwt.select("pos", "idx"), "pos").groupBy("kmer").agg(F.min("idx").alias("lower"), (F.max("idx") + 1).alias("upper"))
+def _windows(index: Index, longest: int) -> DataFrame:
+    """window, size, start, text: each window's own bases, with those of the windows before and behind it; start is the text's place.
+
+    A window is of so many pieces that a segment of the longest length reaches into the next one at most.
+    """
+    many = -(-longest // PIECE)
+    joined = index.text.groupBy(F.floor(F.col("piece") / many).alias("window")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "").alias("own"))
+    before = joined.select((F.col("window") + 1).alias("window"), F.col("own").alias("before"))
+    behind = joined.select((F.col("window") - 1).alias("window"), F.col("own").alias("behind"))
+    rows = joined.join(before, "window", "left").join(behind, "window", "left").select("window", "own", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("behind", F.lit("")).alias("behind"))
+    return rows.select("window", F.length("own").alias("size"), (F.col("window") * (many * PIECE) - F.length("before")).alias("start"), (F.col("window") * (many * PIECE)).alias("from"), F.concat("before", "own", "behind").alias("text"))
+
+
+def _texts(windows: DataFrame, lengths: Column) -> DataFrame:
+    """pos, window, kmer: the texts of the given lengths from each place."""
+    each = windows.select("window", "start", "text", F.explode(F.expr("sequence(`from`, `from` + size - 1)")).alias("pos"), lengths.alias("ks"))
+    cut = each.select("pos", "window", F.explode(F.transform("ks", lambda k: F.struct(k.alias("k"), F.substring("text", (F.col("pos") - F.col("start") + 1).cast("int"), k.cast("int")).alias("kmer")))).alias("x"))
+    return cut.filter("length(x.kmer) = x.k").select("pos", "window", "x.kmer")
+
+
+def _by_seeds(index: Index, rows: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """keys, k, lower, upper: of each segment whose last SEED symbols occur, its longest tail that does, and the interval of that.
+
+    Places are found by an equi-join of seeds and extended to the left in the text around them, so the reference's longer texts are never made.
+    """
+    windows = _windows(index, longest)
+    asked = rows.filter(F.length("__known") >= SEED).select(*keys, "__known", F.right("__known", F.lit(SEED)).alias("kmer"))
+    places = _texts(windows, F.array(F.lit(SEED))).join(asked.select("kmer").distinct(), "kmer", "left_semi")
+    met = asked.join(places, "kmer").join(windows.select("window", "start", "text"), "window")
+    head, reach = F.expr(f"left(__known, length(__known) - {SEED})"), (F.col("pos") - F.col("start")).cast("int")
+    near = F.expr("substr(text, 1, __reach)")
+    met = met.withColumns({"__head": head, "__reach": reach}).withColumn("__near", near)
+    # the longest common end of both, by halving
+    halved = "aggregate(sequence(1, 31), struct(0 AS lo, least(length(__head), length(__near)) AS hi), (s, i) -> IF(s.lo >= s.hi, s, IF(right(__head, (s.lo + s.hi + 1) DIV 2) = right(__near, (s.lo + s.hi + 1) DIV 2), struct(CAST((s.lo + s.hi + 1) DIV 2 AS INT) AS lo, s.hi AS hi), struct(s.lo AS lo, CAST((s.lo + s.hi + 1) DIV 2 - 1 AS INT) AS hi))), s -> s.lo)"
+    met = met.select(*keys, "pos", F.expr(halved).alias("more"))
+    best = met.groupBy(*keys).agg(F.max("more").alias("more"))
+    found = met.join(best, [*keys, "more"]).withColumn("pos", F.col("pos") - F.col("more")).join(index.bwt.select("pos", "idx"), "pos")
+    return found.groupBy(*keys).agg((F.first("more") + SEED).alias("k"), F.min("idx").alias("lower"), (F.max("idx") + 1).alias("upper"))
+
+
+def _by_short_tails(index: Index, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of any segment for tails of fewer than SEED symbols. Only texts of the reference that are a tail of a segment are gathered."""
+    tails = rows.filter("length(__known) > 0").select(*keys, F.explode(F.expr(f"transform(sequence(1, least(length(__known), {SEED - 1})), k -> struct(k, right(__known, k) AS tail))")).alias("t"))
+    tails = tails.select(*keys, F.col("t.k").alias("k"), F.col("t.tail").alias("kmer"))
+    texts = _texts(_windows(index, SEED), F.sequence(F.lit(1), F.lit(SEED - 1))).join(tails.select("kmer").distinct(), "kmer", "left_semi")
+    places = texts.join(index.bwt.select("pos", "idx"), "pos").groupBy("kmer").agg(F.min("idx").alias("lower"), (F.max("idx") + 1).alias("upper"))
+    return tails.join(places, "kmer").groupBy(*keys).agg(F.max_by(F.struct("k", "lower", "upper"), "k").alias("best")).select(*keys, "best.*")
 
 
 def search(index: Index, segments: DataFrame, longest: int | None = None) -> DataFrame:
     """Backward search of each segment: the columns of segments (key columns and seq), processed, mismatches, lower, upper, exhausted, score.
 
     Symbols other than A, C, G, T, U, N are skipped, each a mismatch. The search goes from the end; where no match is left it stops,
-    which is one more mismatch. longest bounds the segments' length; without it, it is found from them. An equi-join with the reference's texts replaces the walk.
+    which is one more mismatch. longest bounds the segments' length; without it, it is found from them. Equi-joins of seeds or short tails with the
+    reference's texts of that length replace the walk.
     """
     if longest is None:
         longest = segments.agg(F.max(F.length("seq"))).first()[0] or 1
     keys = [c for c in segments.columns if c != "seq"]
     upper = F.translate(F.upper("seq"), "U", "T")
     rows = segments.withColumn("__s", upper).withColumn("__known", F.regexp_replace("__s", "[^ACGTN]", ""))
-    tails = rows.filter("length(__known) > 0").select(*keys, F.explode(F.expr("transform(sequence(1, length(__known)), k -> struct(k, right(__known, k) AS tail))")).alias("t")).select(*keys, F.col("t.k").alias("k"), F.col("t.tail").alias("kmer"))
-    found = tails.join(kmers(index, longest), "kmer").groupBy(*keys).agg(F.max_by(F.struct("k", "lower", "upper"), "k").alias("best"))
+    if longest >= SEED:
+        seeded = _by_seeds(index, rows, keys, longest)
+        short = _by_short_tails(index, rows.join(seeded.select(*keys), keys, "left_anti"), keys)
+        found = seeded.unionAll(short.select(seeded.columns))
+    else:
+        found = _by_short_tails(index, rows, keys)
+    found = found.select(*keys, F.struct(F.col("k").cast("int").alias("k"), "lower", "upper").alias("best"))
     rows = rows.join(found, keys, "left").withColumn("__k", F.coalesce("best.k", F.lit(0)))
     rows = rows.withColumns({
         "exhausted": F.col("__k") < F.length("__known"),
@@ -152,26 +204,26 @@ def search(index: Index, segments: DataFrame, longest: int | None = None) -> Dat
 
 
 def segmented(reads: DataFrame, blocks: int) -> DataFrame:
-    """Each read (ord, seq) cut into so many segments of equal length, empty ones at the end; block from 0."""
+    """Each read (key columns, seq) cut into so many segments of equal length, empty ones at the end; block from 0."""
     cut = F.ceil(F.length("seq") / blocks).cast("int")
-    return reads.select("ord", "seq", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).withColumn("seq", F.substring("seq", (F.col("block") * cut + 1).cast("int"), cut))
+    return reads.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).withColumn("seq", F.substring("seq", (F.col("block") * cut + 1).cast("int"), cut))
 
 
 def merged(summaries: DataFrame) -> DataFrame:
     """Segment summaries of each read added up; the interval is that of the last segment."""
     last = F.max_by(F.struct("lower", "upper"), "block")
-    return summaries.groupBy("ord").agg(
+    return summaries.groupBy(*(c for c in ("file", "ord") if c in summaries.columns)).agg(
         F.sum("processed").alias("processed"), F.sum("mismatches").alias("mismatches"), last["lower"].alias("lower"), last["upper"].alias("upper"),
         F.bool_or("exhausted").alias("exhausted"), F.sum("score").alias("score"), F.min("block").alias("first_block"), F.max("block").alias("last_block"),
     )
 
 
 def align(index: Index, reads: DataFrame, mode: str = "whole", longest: int | None = None) -> DataFrame:
-    """Summaries of reads (ord, seq). mode whole searches a read as one; blocked searches as many segments as the index has blocks, each from the
+    """Summaries of reads (ord, or file and ord, seq). mode whole searches a read as one; blocked searches as many segments as the index has blocks, each from the
     full interval, so that the interval is the last segment's."""
     if mode not in ("whole", "blocked"):
         raise ValueError("mode is whole or blocked")
-    return merged(search(index, segmented(reads.select("ord", "seq"), index.num_blocks if mode == "blocked" else 1), longest))
+    return merged(search(index, segmented(reads.select(*(c for c in ("file", "ord", "seq") if c in reads.columns)), index.num_blocks if mode == "blocked" else 1), longest))
 
 
 def located(index: Index, summaries: DataFrame, max_mismatches: int = 2) -> DataFrame:

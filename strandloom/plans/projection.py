@@ -23,10 +23,11 @@ def dna(text) -> Column:
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """position, base: the items of benchmark one after the other. The window runs over items, not bases."""
+    """position, base: the items of benchmark one after the other. The window runs over the items' lengths, without their texts."""
     items = table(spark, sf_dir, "benchmark").select("item_id", dna("text").alias("s"))
-    before = F.coalesce(F.sum(F.length("s")).over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = items.withColumn("start", before).select("start", F.posexplode(F.split("s", "")).alias("i", "base")).filter("base <> ''")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = items.select("item_id", F.length("s").alias("n")).select("item_id", before.alias("start"))
+    each = items.join(starts, "item_id").select("start", F.posexplode(F.split("s", "")).alias("i", "base")).filter("base <> ''")
     return each.select((F.col("start") + F.col("i")).cast("long").alias("position"), "base")
 
 
