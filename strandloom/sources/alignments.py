@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +37,18 @@ def read_sam(spark: SparkSession, path: str, chrom: str | None = None, strict: b
     return parse_sam(spark.read.text(path), chrom, strict=strict)
 
 
+def _order(aligned: DataFrame) -> list[str]:
+    """The key of the input's order: a file, where reads come from several, and the number in it."""
+    return [c for c in ("file", "ord") if c in aligned.columns]
+
+
 def sam_lines(aligned: DataFrame, chrom: str, offset: int = 0) -> DataFrame:
-    """ord, line of aligned reads (ord, name, seq, qual, position, mismatches); a null position is unmapped. ord keeps the input's order."""
+    """file, if there is one, ord, line of aligned reads (ord, name, seq, qual, position, mismatches); a null position is unmapped. ord keeps the input's order."""
     mapped = F.col("position").isNotNull()
     at = (F.col("position") + offset + 1).cast("string")
     hit = F.concat_ws("\t", "name", F.lit("0"), F.lit(chrom), at, dna.mapq_of("mismatches").cast("string"), F.concat(F.length("seq").cast("string"), F.lit("M")), F.lit("*\t0\t0"), "seq", "qual", F.concat(F.lit("NM:i:"), F.col("mismatches").cast("string")))
     miss = F.concat_ws("\t", "name", F.lit("4\t*\t0\t0\t*\t*\t0\t0"), "seq", "qual")
-    return aligned.select("ord", F.when(mapped, hit).otherwise(miss).alias("line"))
+    return aligned.select(*_order(aligned), F.when(mapped, hit).otherwise(miss).alias("line"))
 
 
 def sam_header(chrom: str, length: int) -> list[str]:
@@ -55,8 +58,9 @@ def sam_header(chrom: str, length: int) -> list[str]:
 def write_sam(aligned: DataFrame, chrom: str, length: int, path: str, offset: int = 0) -> None:
     """One ordered text folder: the header comes first by its sort key."""
     spark = aligned.sparkSession
-    header = spark.createDataFrame([(k - 2, x) for k, x in enumerate(sam_header(chrom, length))], "ord long, line string")
-    header.unionAll(sam_lines(aligned, chrom, offset)).orderBy("ord").select("line").write.text(path)
+    lines = sam_lines(aligned, chrom, offset)
+    header = spark.createDataFrame([(k - 2, x) for k, x in enumerate(sam_header(chrom, length))], "ord long, line string").withColumn("file", F.lit(""))
+    header.select(lines.columns).unionAll(lines).orderBy(*_order(aligned)).select("line").write.text(path)
 
 
 _NIBBLE = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
@@ -113,11 +117,17 @@ def _blocks(batches):
 
 
 def write_bam(aligned: DataFrame, chrom: str, length: int, path: str, offset: int = 0) -> None:
-    """One BAM file. Records are encoded and compressed on the executors, in order; the driver only strings the blocks together."""
+    """One BAM file in any store that Spark writes to. Records are encoded and compressed on the executors, in order; the driver only strings
+    the blocks together, of which a partition's are at hand at a time."""
+    spark = aligned.sparkSession
     placed = aligned.withColumn("position", F.col("position") + offset).withColumn("mapq", dna.mapq_of("mismatches"))
-    blocks: Iterable = placed.orderBy("ord").select("name", "seq", "qual", "position", "mismatches", "mapq").mapInArrow(_blocks, "block binary").toLocalIterator()
-    with open(path, "wb") as f:
-        f.write(bgzf(bam_header(chrom, length)))
+    blocks = placed.orderBy(*_order(aligned)).select("name", "seq", "qual", "position", "mismatches", "mapq").mapInArrow(_blocks, "block binary").toLocalIterator()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(bgzf(bam_header(chrom, length))))
         for r in blocks:
-            f.write(r.block)
-        f.write(BGZF_END)
+            out.write(bytearray(r.block))
+        out.write(bytearray(BGZF_END))
+    finally:
+        out.close()

@@ -1,10 +1,14 @@
-"""FASTA and FASTQ as Spark data sources. A file is one partition, as records don't align with lines; many files are read in parallel."""
+"""FASTA and FASTQ as Spark data sources.
+
+Files are read by lines, so that Spark cuts a large one into ranges: each range's lines (and FASTA headers) are counted, the counts before it number
+its lines in the file, and a record's lines meet by (file, record). parse_files takes texts that are at hand whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FASTA = "file string, ord long, name string, seq string"
@@ -79,10 +83,6 @@ def parse_files(files: DataFrame, kind: str, first_only: bool = False) -> DataFr
     return files.select("file", "value").mapInPandas(_Parser(kind, first_only), FASTA if kind == "fasta" else FASTQ)
 
 
-def _read(spark: SparkSession, path: str, kind: str, first_only: bool) -> DataFrame:
-    return parse_files(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), kind, first_only)
-
-
 class _Parser:
     def __init__(self, kind: str, first_only: bool):
         self.kind, self.first_only = kind, first_only
@@ -95,14 +95,52 @@ class _Parser:
             yield pd.DataFrame(list(_parsed(zip(frame.file, frame.value, strict=True), self.kind, self.first_only)), columns=names)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, part, at, line: the lines that aren't blank, stripped, with the range of the file they come from and their order in it."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    return rows.filter("line <> ''")
+
+
+def _counted(lines: DataFrame, what: Column) -> DataFrame:
+    """file, part, first (the order of the range's first line), before (how many lines of a kind the ranges before hold). A row for each range."""
+    parts = lines.groupBy("file", "part").agg(F.min("at").alias("first"), F.count_if(what).alias("n"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("file", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def _checked(ok: Column, value: Column, message: Column) -> Column:
+    return F.when(ok, value).otherwise(F.raise_error(message))
+
+
 def read_fasta(spark: SparkSession, path: str, first_only: bool = True) -> DataFrame:
-    """file, ord, name, seq of each file's records, by default of its first. Any path that Spark reads."""
-    return _read(spark, path, "fasta", first_only)
+    """file, ord, name, seq of each file's records, by default of its first. Any path that Spark reads; (file, ord) is a key."""
+    lines = _lines(spark, path).withColumn("header", F.col("line").startswith(">"))
+    lines = lines.join(_counted(lines, F.col("header")), ["file", "part"])
+    own = Window.partitionBy("file", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("ord", F.col("before") + F.count_if("header").over(own) - 1)
+    if first_only:
+        rows = rows.filter("ord <= 0")
+    # a record's lines in order; the first is its header
+    text = F.transform(F.sort_array(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"])
+    made = rows.groupBy("file", "ord").agg(text.alias("lines"))
+    head, name = F.element_at("lines", 1), F.regexp_extract(F.element_at("lines", 1), r"^>\s*(\S+)", 1)
+    seq = F.upper(F.array_join(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), ""))
+    named = _checked(F.col("ord") >= 0, _checked(name != "", name, F.lit("FASTA header without a name")), F.concat(F.lit("FASTA file does not begin with a header: "), head))
+    return made.select("file", "ord", named.alias("name"), _checked(seq != "", seq, F.concat(F.lit("FASTA record has no sequence: "), head)).alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """file, ord, name, seq, qual."""
-    return _read(spark, path, "fastq", False)
+    """file, ord, name, seq, qual; (file, ord) is a key. Blank lines are skipped, so a record without bases, which would have two, is malformed."""
+    lines = _lines(spark, path)
+    counted = _counted(lines, F.lit(True))
+    own = Window.partitionBy("file", "part").orderBy("at")
+    rows = lines.join(counted, ["file", "part"]).withColumn("n", F.col("before") + F.row_number().over(own) - 1)
+    made = rows.groupBy("file", F.expr("n DIV 4").alias("ord")).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("x"))
+    head, seq, plus, qual = (F.get("x", F.lit(k)) for k in range(4))
+    name = F.regexp_extract(head, r"^@\s*(\S+)", 1)
+    whole = _checked(F.size("x") == 4, name, F.concat(F.lit("FASTQ file ends inside a record: "), head))
+    named = _checked((name != "") & F.coalesce(plus.startswith("+"), F.lit(True)), whole, F.concat(F.lit("FASTQ record is malformed: "), head))
+    return made.select("file", "ord", _checked(F.coalesce(F.length(seq) == F.length(qual), F.lit(True)), named, F.concat(F.lit("bases and qualities differ in number: "), head)).alias("name"), F.upper(seq).alias("seq"), qual.alias("qual"))
 
 
 def toy_reference(spark: SparkSession, length: int = 1_000_000, seed: int = 1337) -> DataFrame:

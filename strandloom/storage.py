@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, /tmp/checkpoints for a local master; a cluster has no such folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not f"{spark.conf.get('spark.master', '')}[".startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or "file:///tmp/checkpoints").rstrip("/")
+
+
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes df as Parquet in the folder of spark.checkpoint.dir, which all executors share, and reads it back."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/strandloom/{what}-{uuid.uuid4().hex}"
+    """Writes df as Parquet in the shared folder and reads it back."""
+    path = f"{shared_folder(df.sparkSession)}/strandloom/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
