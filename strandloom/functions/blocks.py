@@ -68,8 +68,28 @@ def ledger_space(blocks) -> Column:
     return F.floor((_c(blocks) * 2 + 7) / 8).cast("long")
 
 
+def tape_bounds(cells) -> Column:
+    """struct(left, right) of a tape's map from place to symbol; 0, 0 of a blank one."""
+    return window_of(F.map_keys(_c(cells)))
+
+
+def tape_usage(cells) -> Column:
+    """How many cells of a tape aren't blank."""
+    return F.size(_c(cells)).cast("long")
+
+
+def path_after(moves) -> Column:
+    """The path, an array of L and R, after an array of moves: L and R push a level, U pops one, if there is any."""
+    return F.aggregate(_c(moves), F.array().cast("array<string>"), lambda p, m: F.when(m == "U", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(F.concat(p, F.array(m))))
+
+
+def path_space(path) -> Column:
+    """Two bits for each level, in bytes."""
+    return F.floor((F.size(_c(path)) * 2 + 7) / 8).cast("long")
+
+
 def required_merges(blocks) -> Column:
-    """How many complete cells tell that all merges are done: fixed shares, as cells collide the more the larger the tree."""
+    """How many complete cells tell that all merges are done: fixed shares, as cells collide the more the larger the tree."""
     n = F.greatest(_c(blocks).cast("long") - 1, F.lit(0))
     share = lambda k, least: F.greatest(F.floor(n / k).cast("long"), F.lit(least).cast("long"))
     return F.when(n == 0, F.lit(0)).when(n > 1000, share(20, 50)).when(n > 100, share(10, 5)).when(n > 10, share(5, 3)).otherwise(F.floor(n / 2).cast("long"))

@@ -73,6 +73,20 @@ def pack(seq) -> Column:
     return F.struct(words(2, code).alias("words"), F.length(s).alias("len"), words(1, flag).alias("nmask"))
 
 
+def from_parts(words, length, nmask) -> Column:
+    """A packed sequence of its parts; fails where the words can't hold so many bases."""
+    w, n = _c(words), _c(length).cast("int")
+    message = F.concat(F.lit("length "), n.cast("string"), F.lit(" exceeds the capacity of "), F.size(w).cast("string"), F.lit(" words"))
+    return F.struct(w.alias("words"), F.when(n <= F.size(w) * BASES_PER_WORD, n).otherwise(F.raise_error(message)).alias("len"), _c(nmask).alias("nmask"))
+
+
+def extend(packed, seq) -> Column:
+    """A packed sequence with further bases behind it, by packing all of them anew; fails like pack, at the place in the whole. One base is a push."""
+    # each step is bound to a name, so that a chain of them isn't written out again for each of its uses
+    whole = F.transform(F.array(_c(packed)), lambda p: F.concat(unpack(p), _c(seq)))
+    return F.transform(whole, pack)[0]
+
+
 def packed_base(packed, index) -> Column:
     """The base at an index, from 0; null beyond the end."""
     p, i = _c(packed), _c(index)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import blocks, dna, field
-from strandloom.operators import fm_index, pileup, turing, variants
+from strandloom.operators import evaluation, fm_index, pileup, turing, variants
 from strandloom.operators.plugins import Engine
 from strandloom.plans import projection as P
 from strandloom.sources import alignments, sequences, vcf
@@ -370,8 +370,7 @@ _LOG = "log AS (SELECT user_id, event_id, event_id % 3 - 1 AS move, chr(CAST(97
 
 def _heads(spark, d) -> DataFrame:
     log = P.table(spark, d, "events").selectExpr("user_id", "event_id", "event_id % 3 - 1 AS move", "char(97 + event_id % 5) AS symbol")
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("head", F.coalesce(F.sum("move").over(before), F.lit(0)).cast("long"))
+    return turing.head_positions(log, "user_id", "event_id")
 
 
 @query(f"WITH {_LOG} SELECT user_id, event_id, head FROM heads")
@@ -381,7 +380,7 @@ def head_replay(spark, d):
 
 @query(f"WITH {_LOG} SELECT * FROM (SELECT user_id, head AS cell, arg_max(symbol, event_id) AS symbol FROM heads GROUP BY ALL) WHERE symbol <> 'a'")
 def tape_replay(spark, d):
-    return _heads(spark, d).groupBy("user_id", F.col("head").alias("cell")).agg(F.max_by("symbol", "event_id").alias("symbol")).filter("symbol <> 'a'")
+    return turing.final_cells(_heads(spark, d), "user_id", "event_id", blank="a")
 
 
 def right_mover() -> turing.TuringMachine:
@@ -401,8 +400,9 @@ def interface_check(spark, d):
     """Whether a block goes on in the state in which the one before ended."""
     by = P.table(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 100).alias("block"))
     ends = by.agg(F.min_by("event_type", "event_id").alias("entry"), F.max_by("event_type", "event_id").alias("exit"))
-    right = ends.select("user_id", (F.col("block") - 1).alias("block"), F.col("entry").alias("next"))
-    return ends.join(right, ["user_id", "block"]).select("user_id", "block", (F.col("exit") == F.col("next")).alias("meets"))
+    none, heads = F.array().cast("array<struct<left: long, right: long>>"), F.array().cast("array<long>")
+    rows = ends.select("user_id", F.col("block").alias("block_id"), F.col("entry").alias("entry_state"), F.col("exit").alias("exit_state"), heads.alias("entry_heads"), heads.alias("exit_heads"), none.alias("windows"))
+    return evaluation.interfaces(rows, "user_id").select("user_id", F.col("block_id").alias("block"), "meets")
 
 
 @query(f"WITH {P.OBS_SQL}, o AS (SELECT 'chr1' AS chrom, position, base, quality, mapq FROM obs WHERE mapq < 3) SELECT position, CAST(count(*) AS BIGINT) AS depth, abs(sum(quality / 93e0) - sum(quality) / 93e0) < 0.001 AS near FROM o GROUP BY ALL")
@@ -430,10 +430,109 @@ def pileup_ordered_floats_whole(spark, d):
 def space_scaling(spark, d):
     rows = P.table(spark, d, "part").filter("p_size > 0").selectExpr("CAST(p_size AS BIGINT) * p_size AS t").distinct().withColumn("space", blocks.simulation_bound("t"))
     # sizes of parts: a few dozen rows
-    return rows.withColumn("ratio", F.round(F.col("space") / F.lag("space").over(Window.orderBy("t")), 6))
+    return evaluation.scaling(rows).drop("mean_ratio").withColumn("ratio", F.round("ratio", 6))
+
+
+@query("WITH s AS (SELECT t, CAST(2 * ceil(sqrt(t)) AS BIGINT) AS space FROM (SELECT DISTINCT CAST(p_size AS BIGINT) * 3 + 1 AS t FROM part)), r AS (SELECT t, space / lag(space) OVER (ORDER BY t) AS ratio FROM s) SELECT a.t, round((SELECT avg(ratio) FROM r b WHERE b.t <= a.t), 6) AS mean_ratio FROM r a")
+def space_scaling_average(spark, d):
+    rows = P.table(spark, d, "part").selectExpr("CAST(p_size AS BIGINT) * 3 + 1 AS t").distinct().withColumn("space", blocks.simulation_bound("t"))
+    return evaluation.scaling(rows).select("t", F.round("mean_ratio", 6).alias("mean_ratio"))
 
 
 @query("SELECT format, CAST(count(*) AS BIGINT) AS n, min(seconds) AS fastest, max(seconds) AS slowest, round(avg(seconds), 6) AS mean FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'sam' ELSE 'bam' END AS format, l_quantity AS seconds FROM lineitem) GROUP BY ALL")
 def format_summary(spark, d):
     rows = P.table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, "sam").otherwise("bam").alias("format"), F.col("l_quantity").alias("seconds"))
-    return rows.groupBy("format").agg(F.count("*").alias("n"), F.min("seconds").alias("fastest"), F.max("seconds").alias("slowest"), F.round(F.avg("seconds"), 6).alias("mean"))
+    return evaluation.format_summary(rows).withColumn("mean", F.round("mean", 6))
+
+
+# --- ledgers, space, paths and blocks in full -------------------------------------------------------------------------
+
+_MARKS = f"""{_TREE}, marks AS (SELECT blocks, l, r, 'L' AS side FROM node WHERE (l + r) % 3 <> 0 UNION ALL SELECT blocks, l, r, 'R' FROM node WHERE (l * 5 + r) % 7 <> 0),
+cells AS (SELECT blocks, ((l + r) * (l + r + 1) // 2 + r) % blocks AS cell, coalesce(bool_or(side = 'L'), false) AS left_done, coalesce(bool_or(side = 'R'), false) AS right_done FROM marks GROUP BY ALL)"""
+
+
+def _cells(spark, d) -> DataFrame:
+    nodes = blocks.tree_nodes(spark, _trees(spark, d))
+    left = nodes.filter("(`left` + `right`) % 3 <> 0").withColumn("side", F.lit("L"))
+    return evaluation.ledger_cells(left.unionAll(nodes.filter("(`left` * 5 + `right`) % 7 <> 0").withColumn("side", F.lit("R"))))
+
+
+@query(f"{_MARKS} SELECT * FROM cells")
+def ledger_cells(spark, d):
+    return _cells(spark, d)
+
+
+@query(f"{_MARKS}, n AS (SELECT blocks, CAST(count(*) FILTER (left_done) AS BIGINT) AS n_left, CAST(count(*) FILTER (right_done) AS BIGINT) AS n_right, CAST(count(*) FILTER (left_done AND right_done) AS BIGINT) AS n_both, blocks - 1 AS m FROM cells GROUP BY ALL) SELECT blocks, n_left, n_right, n_both, n_both >= CASE WHEN m > 1000 THEN greatest(m // 20, 50) WHEN m > 100 THEN greatest(m // 10, 5) WHEN m > 10 THEN greatest(m // 5, 3) ELSE m // 2 END AS all_merged, (blocks * 2 + 7) // 8 AS space FROM n")
+def ledger_statistics(spark, d):
+    return evaluation.ledger_stats(_cells(spark, d))
+
+
+@query(f'{_MARKS} SELECT n.blocks, n.l AS "left", n.r AS "right", coalesce(left_done AND right_done, false) AS ready FROM node n LEFT JOIN cells c ON c.blocks = n.blocks AND c.cell = ((n.l + n.r) * (n.l + n.r + 1) // 2 + n.r) % n.blocks')
+def ledger_readiness(spark, d):
+    nodes = blocks.tree_nodes(spark, _trees(spark, d)).select("blocks", "left", "right")
+    return evaluation.merge_ready(nodes, _cells(spark, d))
+
+
+_SPACE = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id * 7 % 11 % 5 AS kind, event_id % 13 AS size FROM events),
+run AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS most, CAST([] AS BIGINT[]) AS stack, CAST(0 AS BIGINT) AS leaf, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS ledger FROM events
+UNION ALL SELECT * FROM (SELECT user_id, k, cur, greatest(most, cur) AS most, stack, leaf, greatest(depth, len(stack)) AS depth, ledger FROM (SELECT r.user_id, e.k,
+  CASE e.kind WHEN 0 THEN cur + size WHEN 1 THEN CASE WHEN len(stack) = 0 THEN cur ELSE greatest(cur - stack[-1], 0) END WHEN 2 THEN cur + size WHEN 3 THEN greatest(cur - size, 0) ELSE cur + size END AS cur, most,
+  CASE e.kind WHEN 0 THEN list_append(stack, size) WHEN 1 THEN CAST(stack[:-2] AS BIGINT[]) ELSE stack END AS stack, CASE WHEN e.kind = 2 THEN greatest(leaf, size) ELSE leaf END AS leaf, depth, CASE WHEN e.kind = 4 THEN size ELSE ledger END AS ledger
+  FROM run r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)))"""
+
+
+@query(f"{_SPACE} SELECT user_id, arg_max(most, k) AS max_space, arg_max(leaf, k) AS leaf_buffer_max, arg_max(depth, k) AS stack_depth_max, arg_max(ledger, k) AS ledger_size, arg_max(most, k) <= 60 AS within FROM run GROUP BY ALL")
+def space_profile(spark, d):
+    kinds = F.array(*(F.lit(k) for k in ("push", "pop", "leaf", "free", "ledger")))
+    rows = P.table(spark, d, "events").select("user_id", "event_id", kinds[(F.col("event_id") * 7 % 11 % 5).cast("int")].alias("kind"), (F.col("event_id") % 13).alias("size"))
+    return evaluation.space_profile(rows, "user_id", "event_id").withColumn("within", evaluation.satisfies_bound("max_space", F.lit(60)))
+
+
+_PATHS = "WITH RECURSIVE p AS (SELECT p_partkey, p_size + 40 AS blocks, list_transform(range(p_size % 11 + 2), lambda k: CASE (p_partkey * 31 + k * k * 7 + k) % 5 WHEN 0 THEN 'U' WHEN 1 THEN 'L' WHEN 2 THEN 'L' ELSE 'R' END) AS moves FROM part), done AS (SELECT p_partkey, blocks, moves, 0 AS k, CAST([] AS VARCHAR[]) AS path FROM p UNION ALL SELECT p_partkey, blocks, moves, k + 1, CASE WHEN moves[k + 1] = 'U' THEN CAST(path[:-2] AS VARCHAR[]) ELSE list_append(path, moves[k + 1]) END FROM done WHERE k < len(moves)), last AS (SELECT p_partkey, blocks, path FROM done WHERE k = len(moves)), down AS (SELECT p_partkey, path, 0 AS k, CAST(1 AS BIGINT) AS l, CAST(blocks AS BIGINT) AS r FROM last UNION ALL SELECT p_partkey, path, k + 1, CASE WHEN l >= r OR path[k + 1] = 'L' THEN l ELSE (l + r) // 2 + 1 END, CASE WHEN l >= r OR path[k + 1] = 'R' THEN r ELSE (l + r) // 2 END FROM down WHERE k < len(path))"
+
+
+@query(f"{_PATHS} SELECT p_partkey, array_to_string(path, '') AS path, CAST(len(path) AS INT) AS depth, l, r, CAST((2 * len(path) + 7) // 8 AS BIGINT) AS space FROM down WHERE k = len(path)")
+def path_descent(spark, d):
+    """Levels pushed and popped, and the node at which the path that is left ends."""
+    moves = "transform(sequence(0, p_size % 11 + 1), k -> CASE (p_partkey * 31 + k * k * 7 + k) % 5 WHEN 0 THEN 'U' WHEN 1 THEN 'L' WHEN 2 THEN 'L' ELSE 'R' END) AS moves"
+    rows = P.table(spark, d, "part").selectExpr("p_partkey", "p_size + 40 AS blocks", moves).withColumn("path", blocks.path_after("moves"))
+    rows = rows.withColumn("node", blocks.descend(F.lit(1), "blocks", "path"))
+    return rows.select("p_partkey", F.array_join("path", "").alias("path"), F.size("path").alias("depth"), "node.l", "node.r", blocks.path_space("path").alias("space"))
+
+
+@query("SELECT p_partkey AS run_id, CAST(k AS BIGINT) AS block_id, true AS states_meet, true AS heads_meet, CAST(7 * k AS BIGINT) AS head, true AS meets FROM part, (SELECT unnest(range(1, 6)) AS k) WHERE 7 * k <= p_size")
+def block_interfaces(spark, d):
+    """The right mover's blocks of seven steps, each against the next one."""
+    runs = P.table(spark, d, "part").selectExpr("p_partkey AS run_id", "'right' AS machine", "repeat('1', p_size) AS input", "40L AS time")
+    made = turing.block_summaries(runs, {"right": right_mover()}, 7)
+    found = evaluation.interfaces(made).filter("forall(overlaps, x -> x)")
+    return found.join(made.select("run_id", "block_id", F.col("exit_heads")[0].alias("head")), ["run_id", "block_id"]).select("run_id", "block_id", "states_meet", "heads_meet", "head", "meets")
+
+
+@query("WITH u AS (SELECT p_partkey AS run_id, p_size, CAST(p_partkey % 90 + 1 AS BIGINT) AS n FROM part), b AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS b FROM u), t AS (SELECT *, (n + b - 1) // b AS blocks FROM b) SELECT run_id, p_size + 1 <= b * blocks AS accepted, n AS steps, b AS block_size, blocks, b + CAST(ceil(log2(blocks)) AS BIGINT) + 1 + blocks * 2 // 8 AS space_used, 2 * b AS space_bound, CAST(least(p_size, b * blocks) AS BIGINT) AS head FROM t")
+def machine_simulation_times(spark, d):
+    """Rolling runs of 1 to 90 steps."""
+    runs = P.table(spark, d, "part").selectExpr("p_partkey AS run_id", "'right' AS machine", "repeat('1', p_size) AS input", "p_partkey % 90 + 1L AS time")
+    out = turing.simulate(runs, {"right": turing.TuringMachine(1, "1_", accept_state=1, reject_state=2).add(0, ["1", "_"], 0, ["1"], ["R", "R"]).add(0, ["_", "_"], 1, ["_"], ["S", "S"])}, "rolling")
+    return out.select("run_id", "accepted", "steps", "block_size", "blocks", "space_used", "space_bound", F.col("heads")[0].alias("head"))
+
+
+@query("SELECT user_id, min(head) AS \"left\", max(head) AS \"right\", CAST(count(*) AS BIGINT) AS cells FROM (SELECT user_id, head, arg_max(symbol, event_id) AS symbol FROM heads GROUP BY ALL) WHERE symbol <> 'a' GROUP BY ALL".replace("SELECT user_id, min", f"WITH {_LOG} SELECT user_id, min", 1))
+def tape_bounds(spark, d):
+    """Bounds and non-blank cells of the tapes that the events leave."""
+    tapes = turing.final_cells(_heads(spark, d), "user_id", "event_id", blank="a").groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "symbol"))).alias("tape"))
+    return tapes.withColumn("w", blocks.tape_bounds("tape")).select("user_id", "w.left", "w.right", blocks.tape_usage("tape").alias("cells"))
+
+
+@query(f"SELECT p_partkey, translate(seq, 'U', 'T') || 'NGATTACA' AS unpacked, CAST(length(seq) + 8 AS INT) AS n, translate(seq, 'U', 'T') AS rebuilt FROM {_NAMES}")
+def packed_parts(spark, d):
+    """Packed sequences extended, and made of their parts."""
+    rows = _names(spark, d).withColumn("packed", dna.pack("seq"))
+    rows = rows.withColumn("more", dna.extend(dna.extend("packed", F.lit("n")), F.lit("GATTACA"))).withColumn("again", dna.from_parts("packed.words", "packed.len", "packed.nmask"))
+    return rows.select("p_partkey", dna.unpack("more").alias("unpacked"), F.col("more.len").alias("n"), dna.unpack("again").alias("rebuilt"))
+
+
+@query(f"WITH o AS (SELECT DISTINCT CAST(c_custkey * 13 % 256 AS INT) AS a, CAST(c_custkey * 31 % 256 AS INT) AS b FROM customer), {_gf('7', 'b')} SELECT b AS x, a, CAST(xor(a, r8) AS INT) AS value FROM p8")
+def field_polynomial_points(spark, d):
+    rows = P.table(spark, d, "customer").selectExpr("CAST(c_custkey * 13 % 256 AS INT) AS a", "CAST(c_custkey * 31 % 256 AS INT) AS x").distinct()
+    return rows.select("x", "a", field.evaluate(F.array("a", F.lit(7)), F.col("x")).alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom import cli
 from strandloom.functions import blocks, dna, field
-from strandloom.operators import fm_index, pileup, plugins, turing, variants
+from strandloom.operators import evaluation, fm_index, pileup, plugins, turing, variants
 from strandloom.plans import catalog, projection
 from strandloom.sources import alignments, sequences, vcf
 
@@ -324,3 +324,168 @@ def test_streaming(spark, files, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [[(r.position, r.alternate, r.depth) for r in b] for b in batches if b] == [[(11, "A", 3)], [(11, "A", 6)]]
+
+
+def test_files_cut_into_ranges(spark, tmp_path):
+    """Two files of reads, each read in many ranges, and a file of contigs cut within sequences and headers."""
+    import random
+
+    rng = random.Random(2)
+    names = {}
+    for k in range(2):
+        rows = [(f"r{i}", "".join(rng.choices("ACGTN", k=rng.randrange(1, 60)))) for i in range(400)]
+        (tmp_path / f"{k}.fastq").write_text("".join(f"\n@{n} of {k}\r\n{s.lower()}\n+\n{'I' * len(s)}\n" for n, s in rows))
+        names[k] = rows
+    contigs = [(f"c{i}", "".join(rng.choices("ACGT", k=rng.randrange(1, 3000)))) for i in range(40)]
+    (tmp_path / "ref.fa").write_text("".join(f">{n} text\n" + "".join(s[a : a + 60] + "\n" for a in range(0, len(s), 60)) for n, s in contigs))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = sequences.read_fastq(spark, f"{tmp_path}/*.fastq")
+        assert spark.read.text(f"{tmp_path}/0.fastq").rdd.getNumPartitions() > 5
+        rows = {(int(r.file[-7]), r.ord): (r.name, r.seq, len(r.qual)) for r in got.collect()}
+        assert rows == {(k, i): (n, s, len(s)) for k, own in names.items() for i, (n, s) in enumerate(own)}
+        made = {r.ord: (r.name, r.seq) for r in sequences.read_fasta(spark, f"{tmp_path}/ref.fa", False).collect()}
+        assert made == dict(enumerate(contigs))
+        assert [(r.ord, r.name, r.seq) for r in sequences.read_fasta(spark, f"{tmp_path}/ref.fa").collect()] == [(0, *contigs[0])]
+        args = ["align", "--reference", f"{tmp_path}/ref.fa", "--reads", f"{tmp_path}/*.fastq"]
+        lines = cli.run_align(spark, cli.parser().parse_args(args)).splitlines()[2:]
+        assert [x.split("\t")[0] for x in lines] == [n for own in names.values() for n, _ in own]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for text, message in (("@a\nAC\n+\n", "ends inside"), ("@a\nAC\n-\nII\n", "malformed"), ("@a\nAC\n+\nI\n", "differ in number"), ("a\nAC\n+\nII\n", "malformed")):
+        (tmp_path / "bad.fq").write_text(text)
+        with pytest.raises(Exception, match=message):
+            sequences.read_fastq(spark, f"{tmp_path}/bad.fq").collect()
+    for text, message in (("ACGT\n>a\nA\n", "begin with a header"), (">\nAC\n", "without a name"), (">a\n>b\nAC\n", "no sequence")):
+        (tmp_path / "bad.fa").write_text(text)
+        with pytest.raises(Exception, match=message):
+            sequences.read_fasta(spark, f"{tmp_path}/bad.fa", False).collect()
+
+
+def test_search_in_a_long_reference(spark):
+    length = 100_000
+    index = fm_index.Index.build(sequences.toy_reference(spark, length))
+    text = "".join(r.base for r in index.bases.orderBy("position").collect())
+    reads = sequences.toy_reads(spark, length, depth=1, error=0.0).select("ord", "seq")
+    found = fm_index.located(index, fm_index.align(index, reads))
+    rows = found.join(reads, "ord").collect()
+    assert len(rows) == length // 150
+    for r in rows:
+        there = text.find(r.seq)
+        if there >= 0:
+            assert text.startswith(r.seq, r.position) and r.mapq == 60 and r.upper - r.lower == sum(text.startswith(r.seq, k) for k in [there]) + text.count(r.seq, there + 1)
+        else:  # a reverse complement: the tail that was matched occurs, one symbol more doesn't
+            assert r.exhausted and r.seq[len(r.seq) - r.processed + 1 :] in text and r.seq[len(r.seq) - r.processed :] not in text
+
+
+def test_ledger(spark):
+    marks = lambda rows: evaluation.ledger_cells(spark.createDataFrame(rows, "blocks long, left long, right long, side string"))
+    one = marks([(3, 1, 3, "L"), (3, 1, 3, "R")])
+    assert tuple(evaluation.ledger_stats(one).first()) == (3, 1, 1, 1, True, 1)
+    half = marks([(3, 1, 3, "L")])
+    assert tuple(evaluation.ledger_stats(half).first())[1:5] == (1, 0, 0, False)
+    nodes = spark.createDataFrame([(3, 1, 3), (3, 1, 2)], "blocks long, left long, right long")
+    assert [r.ready for r in evaluation.merge_ready(nodes, one).orderBy(F.desc("right")).collect()] == [True, False]
+
+
+def test_space_profile(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(run, k, rng.choice(["leaf", "free", "push", "pop", "ledger"]), rng.randrange(9)) for run in range(12) for k in range(80)]
+    got = {r.run_id: r for r in evaluation.space_profile(spark.createDataFrame(rows, "run_id long, step long, kind string, size long")).withColumn("report", evaluation.space_report()).collect()}
+    for run in range(12):
+        current = most = leaf = deep = ledger = 0
+        frames = []
+        for _, _, kind, size in (r for r in rows if r[0] == run):
+            if kind == "pop":
+                current = max(0, current - (frames.pop() if frames else 0))
+            elif kind == "free":
+                current = max(0, current - size)
+            else:
+                current += size
+            if kind == "push":
+                frames.append(size)
+            most, deep = max(most, current), max(deep, len(frames))
+            leaf, ledger = max(leaf, size) if kind == "leaf" else leaf, size if kind == "ledger" else ledger
+        r = got[run]
+        assert (r.max_space, r.leaf_buffer_max, r.stack_depth_max, r.ledger_size) == (most, leaf, deep, ledger)
+        assert r.report == f"Max space: {most} cells\nComponents:\n  Leaf: {leaf}\n  Stack: {deep}\n  Ledger: {ledger}"
+
+
+class Joined(evaluation.Processor):
+    """Joins texts in order: associative, but not commutative."""
+
+    summary = "text string, n long"
+
+    def process_block(self, frame):
+        return {"text": "".join(frame.sort_values("unit").text), "n": len(frame)}
+
+    def merge(self, left, right):
+        return {"text": left["text"] + right["text"], "n": left["n"] + right["n"]}
+
+    def finalize(self, root):
+        return root["text"][::-1]
+
+
+@pytest.mark.parametrize("units", [1, 10, 7000])
+def test_evaluator(spark, units):
+    config = blocks.EvaluatorConfig.optimal_for_units(units)
+    rows = spark.range(units).selectExpr("id AS unit", f"id DIV {config.block_size} + 1 AS block_id", "char(97 + id % 26) AS text")
+    out = evaluation.Evaluator(Joined(), config).evaluate(rows)
+    text = "".join(chr(97 + i % 26) for i in range(units))
+    assert (out.output, out.root["n"], out.root["text"]) == (text[::-1], units, text) and out.ledger_complete and out.space_used <= out.space_bound
+    with pytest.raises(RuntimeError):
+        evaluation.Evaluator(Joined(), config.with_workspace_bytes(10**9)).evaluate(rows)
+    with pytest.raises(ValueError):
+        evaluation.Evaluator(Joined(), config).evaluate(rows.limit(0))
+
+
+def test_ledger_of_96_blocks_is_incomplete(spark):
+    config = blocks.EvaluatorConfig.with_block_size(96, 1)
+    rows = spark.range(96).selectExpr("id AS unit", "id + 1 AS block_id", "'x' AS text")
+    assert not evaluation.Evaluator(Joined(), config).evaluate(rows).ledger_complete
+    with pytest.raises(RuntimeError, match="incomplete"):
+        evaluation.Evaluator(Joined(), config, strict_ledger=True).evaluate(rows)
+
+
+def test_blocks_that_do_not_meet(spark):
+    kind = "run_id long, block_id long, entry_state int, exit_state int, entry_heads array<long>, exit_heads array<long>, windows array<struct<left: long, right: long>>"
+    rows = [(1, 1, 0, 2, [0, 0], [3, 1], [(0, 3), (0, 1)]), (1, 2, 2, 2, [3, 1], [5, 1], [(3, 5), (1, 1)]), (1, 3, 1, 1, [5, 0], [5, 0], [(9, 9), (0, 0)])]
+    got = [tuple(r) for r in evaluation.interfaces(spark.createDataFrame(rows, kind)).orderBy("block_id").collect()]
+    assert got == [(1, 1, True, True, [True, True], True), (1, 2, False, False, [False, False], False)]
+    with pytest.raises(Exception, match="different numbers of tapes"):
+        evaluation.interfaces(spark.createDataFrame([rows[0], (1, 2, 2, 2, [3], [5], [(3, 5)])], kind)).collect()
+
+
+def test_block_summary_as_configuration():
+    machine = catalog.right_mover()
+    config = turing.Configuration.initial(machine, "111")
+    first = turing.simulate_block(machine, config, 1, 2)
+    made = first.configuration("111")
+    assert (made.state, made.heads, made.tapes) == (config.state, config.heads, config.tapes)
+    assert first.space_usage == 2 + 2 + 2 * 4 + 4 * 2
+
+
+def test_packed_parts(spark):
+    row = spark.range(1).select(F.array(F.lit(27).cast("long")).alias("w"), F.array(F.lit(0).cast("long")).alias("m"))
+    assert row.select(dna.unpack(dna.from_parts("w", F.lit(4), "m"))).first()[0] == "TGCA"
+    with pytest.raises(Exception, match="length 33 exceeds the capacity of 1 words"):
+        row.select(dna.from_parts("w", F.lit(33), "m")).collect()
+    long = row.select(dna.pack(F.lit("ACGT" * 16)).alias("p")).select(dna.unpack(dna.extend("p", F.lit("nTu"))).alias("s"))
+    assert long.first().s == "ACGT" * 16 + "NTT"
+    with pytest.raises(Exception, match="invalid base at position 65"):
+        row.select(dna.pack(F.lit("ACGT" * 16)).alias("p")).select(dna.extend("p", F.lit("AX"))).collect()
+
+
+def test_no_shared_folder():
+    from types import SimpleNamespace
+
+    from strandloom import storage
+
+    made = lambda **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: conf.get(k.replace(".", "_"), default)))
+    assert storage.shared_folder(made(spark_master="local[8]")) == "file:///tmp/checkpoints"
+    assert storage.shared_folder(made(spark_master="yarn", spark_checkpoint_dir="hdfs:///x/")) == "hdfs:///x"
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(made(spark_master="yarn"))
