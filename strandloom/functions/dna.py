@@ -103,7 +103,8 @@ def unpack(packed) -> Column:
 
 def phred(qual) -> Column:
     """Qualities of a text: each byte less 33, at least 0."""
-    return F.transform(F.filter(F.split(_c(qual), ""), lambda c: c != ""), lambda c: F.greatest(F.ascii(c) - 33, F.lit(0)))
+    q = _c(qual)
+    return F.when(q == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(q, ""), lambda c: F.greatest(F.ascii(c) - 33, F.lit(0))))
 
 
 def mapq_of(mismatches) -> Column:

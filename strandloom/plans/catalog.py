@@ -103,11 +103,6 @@ def _document_reads(spark, d) -> DataFrame:
     return rows.select("doc_id", F.lit("chr1").alias("chrom"), (F.col("doc_id") * 37 % 5000).alias("pos"), "seq", F.array().cast("array<int>").alias("quals"))
 
 
-@query(f"SELECT position, CAST(count(*) AS BIGINT) AS depth FROM (SELECT doc_id * 37 % 5000 + unnest(range(length(seq))) AS position FROM {_READ}) WHERE position >= 100 AND position < 6000 GROUP BY ALL")
-def rna_seq_plugin(spark, d):
-    return Engine(spark).run("rna_seq_quant", _document_reads(spark, d), 100, 6000, 512).output
-
-
 @query(f"SELECT position, CAST(count(*) AS BIGINT) AS depth FROM (SELECT doc_id * 37 % 5000 + unnest(range(length(seq))) AS position FROM {_READ}) GROUP BY ALL")
 def rna_seq_plugin_whole(spark, d):
     """The plugin over the region of all reads, from 0 to where the last one ends."""
@@ -405,16 +400,6 @@ def interface_check(spark, d):
     return evaluation.interfaces(rows, "user_id").select("user_id", F.col("block_id").alias("block"), "meets")
 
 
-@query(f"WITH {P.OBS_SQL}, o AS (SELECT 'chr1' AS chrom, position, base, quality, mapq FROM obs WHERE mapq < 3) SELECT position, CAST(count(*) AS BIGINT) AS depth, abs(sum(quality / 93e0) - sum(quality) / 93e0) < 0.001 AS near FROM o GROUP BY ALL")
-def pileup_ordered_floats(spark, d):
-    """Sums of 32-bit floats in a given order stay near the exact ones."""
-    obs = P.observations(spark, d, most_mapq=2)
-    total, exact = (sum((F.col(q) for q in pileup.QUALITIES), F.lit(0.0)) for _ in range(2))
-    floats = pileup.pileup_f32(obs.withColumn("ord", F.col("quality"))).select("position", "depth", total.alias("total"))
-    whole = pileup.pileup(obs).select("position", (exact / 93).alias("exact"))
-    return floats.join(whole, "position").select("position", "depth", (F.abs(F.col("total") - F.col("exact")) < 0.001).alias("near"))
-
-
 @query(f"WITH {P.OBS_SQL} SELECT position, CAST(count(*) AS BIGINT) AS depth, abs(sum(quality / 93e0) - sum(quality) / 93e0) <= (count(*) + 2) * sum(quality) / 93e0 / 16777216 AS near FROM obs GROUP BY ALL")
 def pileup_ordered_floats_whole(spark, d):
     """Of all observations. near holds to the error that so many additions of 32-bit floats can make, as that grows with the depth."""

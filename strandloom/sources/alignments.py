@@ -16,8 +16,8 @@ def parse_sam(lines: DataFrame, chrom: str | None = None, column: str = "value",
     Blank and header lines, unmapped records and those without a reference go first, so what is malformed in them never
     fails. strict takes only CIGARs of one match as long as the read. A line of fewer than 11 fields fails.
     """
-    f = F.split(column, "\t")
-    rows = lines.filter(~F.col(column).rlike(r"^(@|\s*$)")).select(f.alias("f"))
+    # the fields come from a generator, so that filters on them aren't pushed below it, where each would cut the line again
+    rows = lines.filter(~F.col(column).rlike(r"^(@|\s*$)")).select(F.explode(F.array(F.split(column, "\t"))).alias("f"))
     # fields of short lines are null, so the filters don't fail; the check below does
     field = lambda k: F.get("f", F.lit(k))
     rows = rows.filter((F.size("f") < 11) | ((field(1).cast("int").bitwiseAND(4) == 0) & (field(2) != "*")))
