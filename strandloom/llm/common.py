@@ -21,8 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and /tmp/checkpoints only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, /tmp/checkpoints for a local master, and an error for a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not f"{spark.conf.get('spark.master', '')}[".startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or "file:///tmp/checkpoints"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"__{w}{i}" for i in range(len(taken) + 1)) if n not in taken) for w in wanted]
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

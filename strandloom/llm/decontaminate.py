@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored, texts_of
+from .common import arrow_map, free_names, stored, texts_of
 
 #: A byte of a word stays, A-Z is folded, any other byte separates.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -187,10 +187,10 @@ def _windows(rows: DataFrame, sizes: list[int], *names: str) -> DataFrame:
     return functools.reduce(DataFrame.unionAll, each)
 
 
-def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame]:
-    """The scan for a benchmark of any size: windows of both sides meet in a join. Returns the numbered documents and, by number, the findings."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
-    words = rows.select("__row", F.col(id_col).cast("long").alias("doc_id"), _word_array(text_col).alias("words"))
+def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, item_col: str, item_text: str, row: str) -> tuple[DataFrame, DataFrame]:
+    """The scan for a benchmark of any size: windows of both sides meet in a join. Returns the documents, numbered by a column `row`, and, by __row, the findings."""
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    words = rows.select(F.col(row).alias("__row"), F.col(id_col).cast("long").alias("doc_id"), _word_array(text_col).alias("words"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), _word_array(item_text).alias("words")).filter("size(words) > 0")
     items = items.withColumn("size", F.least(F.size("words"), F.lit(n)))
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # n values at most
@@ -215,18 +215,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 32
     stays null; repeated rows are scanned each; other columns are ignored. max_bytes bounds what is broadcast, text and 64 bytes an item.
     """
     if (small := _small(benchmark, item_col, item_text, max_bytes)) is None:
-        return _scan_by_join(docs, benchmark, n, id_col, text_col, item_col, item_text)[1].drop("__row")
+        return _scan_by_join(docs.select(id_col, text_col), benchmark, n, id_col, text_col, item_col, item_text, "__number")[1].drop("__row")
     rows = docs.selectExpr(f"CAST({id_col} AS BIGINT) doc_id", f"{text_col} text")
     return arrow_map(rows, functools.partial(_scan, items=small[0], digest=small[1], n=n), SCAN)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], text_col: str, held: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index(text_col)
-        ranges = batch.column("__ranges").to_pylist()
+        ranges = batch.column(held).to_pylist()
         out = [without(t, [(x["start"], x["end"]) for x in r]) if r else t for t, r in zip(batch.column(at).to_pylist(), ranges, strict=True)]
         batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-        yield batch.select([c for c in batch.schema.names if c != "__ranges"])
+        yield batch.select([c for c in batch.schema.names if c != held])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 1.0, max_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -237,13 +237,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float
     if (small := _small(benchmark, item_col, item_text, max_bytes)) is not None:
         step = functools.partial(_clean, items=small[0], digest=small[1], n=n, text_col=text_col, drop_share=drop_share)
         return docs.mapInArrow(step, docs.schema)
-    total, out = "__total", docs.withColumns({"__total": F.size(_word_array(text_col))})
+    total, own, row, held = free_names(docs, "total", "id", "row", "ranges")
+    out = docs.withColumn(total, F.size(_word_array(text_col)))
     while True:
-        rows, found = _scan_by_join(out.withColumn("__id", F.lit(None).cast("long")), benchmark, n, "__id", text_col, item_col, item_text)
-        hits = found.filter("n_hit > 0").selectExpr("__row", "ranges AS __ranges")
+        rows, found = _scan_by_join(out.withColumn(own, F.lit(None).cast("long")), benchmark, n, own, text_col, item_col, item_text, row)
+        hits = found.filter("n_hit > 0").select(F.col("__row").alias(row), F.col("ranges").alias(held))
         if hits.isEmpty():
             left = F.size(_word_array(text_col))
             cut = F.col(total) - left
             return rows.filter((cut <= 0) | (cut < drop_share * F.col(total))).select(*docs.columns)
-        joined = rows.join(hits, "__row", "left").select(*docs.columns, total, "__ranges")
-        out = joined.mapInArrow(functools.partial(_cut, text_col=text_col), joined.drop("__ranges").schema)
+        joined = rows.join(hits, row, "left").select(*docs.columns, total, held)
+        out = joined.mapInArrow(functools.partial(_cut, text_col=text_col, held=held), joined.drop(held).schema)

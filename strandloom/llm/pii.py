@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: The shapes of each kind, tried in this order; validation follows.
@@ -192,7 +194,7 @@ def mask(docs: DataFrame, key: str, text_col: str = "text", count_col: str | Non
     """
     if not key:
         raise ValueError("a key is needed")
-    found_in, again_in = (next(n for n in (f"__pii_{k}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for k in ("found", "again"))
+    found_in, again_in = free_names(docs, "pii_found", "pii_again")
     found, between = pseudonymised(f"`{text_col}`", key)
     out = docs.withColumn(found_in, F.coalesce(found, F.expr("array()")))
     parts = f"transform(split(`{text_col}`, {_quoted(_CUT)}, -1), t -> IF(t RLIKE '[0-9@]', {_again('t', key)}, named_struct('o', t, 'n', 0, 'skip', 0)))"

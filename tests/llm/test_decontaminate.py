@@ -65,6 +65,13 @@ def test_clean(spark, max_bytes):
     assert kept[3] == "before  after" and kept[None] == " rest" and 12 not in kept and kept[14] == " end"  # 14: the parts came together
 
 
+def test_columns_with_the_names_in_use(spark):
+    docs = spark.createDataFrame([(3, TEXTS[3], 1, 2, 3, 4)], "doc_id long, text string, __row0 int, __total0 int, __id0 int, __ranges int")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for max_bytes in (1 << 20, 0):
+        assert [tuple(r) for r in decontaminate.clean(docs, bench, max_bytes=max_bytes).collect()] == [(3, "before  after", 1, 2, 3, 4)]
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     docs = dict(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
