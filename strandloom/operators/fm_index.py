@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.storage import numbered, stored
+from strandloom.storage import drop_stored, numbered, stored
 
 SYMBOLS = "ACGTN"
 #: Bases of a stored piece of the text, and of the seeds by which longer segments are looked up.
@@ -26,14 +26,16 @@ def suffix_array(bases: DataFrame, first: int = 8) -> DataFrame:
     ranks = bases.select(F.col("position").alias("pos"), dna.symbol_order("base").cast("long").alias("r")).unionAll(bases.sparkSession.range(n, n + 1).selectExpr("id AS pos", "0L AS r"))
     # the first symbols as digits of base 6: each place gathers those behind it
     gathered = ranks.select(F.explode(F.array(*(F.struct((F.col("pos") - k).alias("pos"), (F.col("r") * 6 ** (first - 1 - k)).alias("r")) for k in range(first)))).alias("x")).select("x.*")
-    ranks, far = gathered.filter("pos >= 0").groupBy("pos").agg(F.sum("r").alias("r")), first
+    ranks, far = stored(gathered.filter("pos >= 0").groupBy("pos").agg(F.sum("r").alias("r")), "suffix-ranks"), first
     while True:
         behind = ranks.select((F.col("pos") - far).alias("pos"), F.col("r").alias("s"))
         pairs = stored(ranks.join(behind, "pos", "left").select("pos", "r", F.coalesce("s", F.lit(-1).cast("long")).alias("s")), "suffix-pairs")
         keys = pairs.select("r", "s").distinct()
         order = numbered(keys, ["r", "s"], "rank")
-        done = order.count() == n + 1
+        done, last = order.count() == n + 1, ranks
         ranks, far = stored(pairs.join(order, ["r", "s"]).select("pos", F.col("rank").alias("r")), "suffix-ranks"), far * 2
+        for used in (last, pairs, order):
+            drop_stored(used)
         if done:
             return ranks.select(F.col("r").alias("idx"), "pos")
 
@@ -101,7 +103,9 @@ class Index:
         root = int(n**0.5)
         size = block_size or max(64, root + (root * root < n))
         bases = stored(bases.select("position", dna.sanitized("base").alias("base")), "index-bases")
-        bwt = stored(transform(suffix_array(bases), bases), "index-bwt")
+        places = suffix_array(bases)
+        bwt = stored(transform(places, bases), "index-bwt")
+        drop_stored(places)
         pieces = bases.groupBy(F.floor(F.col("position") / PIECE).alias("piece")).agg(F.sort_array(F.collect_list(F.struct("position", "base"))).alias("x"))
         pieces = stored(pieces.select("piece", F.array_join("x.base", "").alias("text")), "index-text")
         return cls(bases, bwt, stored(ranks(bwt, size), "index-ranks"), stored(c_table(bwt), "index-c"), pieces, n + 1, size)

@@ -23,6 +23,14 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Deletes the files of the stored tables that df reads and that nothing will read again."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles() if "/strandloom/" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, order: list, column: str) -> DataFrame:
     """df with a dense number from 0 in a global order: sorted by ranges, numbered within partitions, and shifted by the
     counts of the partitions before. No window over all rows; the driver sees a count for each partition."""
