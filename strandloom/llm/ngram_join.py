@@ -14,8 +14,8 @@ A document's set holds the hashes of its distinct 5-word shingles; documents wit
    joins two groups, so that a unit gives fewer links than it has nodes.
 
 A unit of more than `chunk` nodes is first cut into trees of nodes that agree in a smallest hash; that finds most links, each
-verified. Then only elements held by two groups or more make units, whose nodes are dealt to cells by size; cells meet pair by pair
-where their sizes can link.
+verified. Then the nodes that still share elements with another group are dealt to cells by size, and cells meet pair by pair where
+their sizes can link; a group that fills cells of its own doesn't meet itself.
 """
 
 from __future__ import annotations
@@ -45,13 +45,15 @@ _SLICE, _ROWS = 2_000_000, 100_000
 @dataclass(frozen=True)
 class Rule:
     """words: of a shingle. percent: of the union that the intersection must reach. extra: one of how many elements more are dealt
-    out in step 1. chunk: nodes that one tree holds. tokens: elements that one tree holds, but for a single larger node."""
+    out in step 1. chunk: nodes that one tree holds. tokens: elements that one tree holds, but for a single larger node. cells: how
+    many half trees of nodes a unit may deal to all its others; a larger one gives way to units of elements."""
 
     words: int = 5
     percent: int = 80
     extra: int = 10
     chunk: int = 4096
     tokens: int = 4_000_000
+    cells: int = 32
 
     def need(self, size):
         """The least overlap that a set of this size has with any it links to."""
@@ -389,7 +391,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges, was = stored(edges.select("a", "b").filter("a <> b").distinct(), "join-edges"), None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # stored, so that Spark can split a node of many edges
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "join-least")
         large = stored(both.join(least, "a").filter("b > a").selectExpr("b AS a", "m AS b").filter("a <> b").distinct(), "join-large")
         drop_stored(edges)
         down = large.selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
@@ -420,33 +423,50 @@ def _routes(sets: DataFrame, rule: Rule) -> DataFrame:
     return stored(held.join(sets.select("node", "size"), "node").select("node", F.explode(first).alias("of")).select("of.element", "node"), "join-routes")
 
 
+def _meetings(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (unit, node, group, size) with cells and side, as trees take them: each row goes once to each meeting of its cell.
+
+    A unit that one tree holds is one cell. Of others, cells are dealt by a band of sizes and a hash; a group that fills a cell has cells of its own, and those
+    don't meet each other. Else a cell meets itself and each one of its band and of the next. What is counted is stored, so that Spark sends it to all tasks
+    or, where it is large, splits the rows of a large unit.
+    """
+    half = f"(n > {rule.chunk} DIV 2 OR tokens > {rule.tokens} DIV 2)"
+    counted = lambda *by: rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    whole = stored(counted("unit").selectExpr("unit", f"n <= {rule.chunk} AND tokens <= {rule.tokens} AS whole"), "join-whole")
+    alone = stored(counted("unit", "group").filter(half).select("unit", "group", F.lit(True).alias("alone")), "join-alone")
+    # sizes that link differ by no more than one band
+    band = F.when(F.col("whole"), 0).otherwise(F.floor(F.log("size") / F.log(F.lit(100 / min(rule.percent, 99)))))
+    own = F.when(~F.col("whole") & F.col("alone"), F.col("group").cast("string")).otherwise(F.lit(""))
+    rows = rows.join(whole, "unit").join(alone, ["unit", "group"], "left").select("unit", "node", "group", "size", "whole", band.alias("band"), own.alias("own"))
+    cells = rows.groupBy("unit", "band", "own", "whole").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    cells = stored(cells.selectExpr("unit", "band", "own", f"IF(whole, 1, CAST(greatest(ceil(2 * n / {rule.chunk}), ceil(2 * tokens / {rule.tokens})) AS INT)) AS parts"), "join-cells")
+    placed = rows.join(cells, ["unit", "band", "own"]).withColumn("cell", F.expr("concat_ws(':', band, own, pmod(xxhash64(node), parts))"))
+    each = cells.select("unit", "band", "own", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).withColumn("cell", F.concat_ws(":", "band", "own", "part"))
+    one, two = each.alias("p"), each.alias("q")
+    meet = one.join(two, F.expr("p.unit = q.unit AND p.cell <= q.cell AND abs(p.band - q.band) <= 1 AND (p.own = '' OR p.own <> q.own)"))
+    meet = meet.select(F.col("p.unit").alias("unit"), F.col("p.cell").alias("one"), F.col("q.cell").alias("two"), F.concat_ws("/", "p.cell", "q.cell").alias("cells"))
+    sides = stored(meet.selectExpr("unit", "one AS cell", "cells", "0 AS side").unionAll(meet.filter("one < two").selectExpr("unit", "two AS cell", "cells", "1 AS side")), "join-sides")
+    return placed.select("unit", "cell", "node", "group").join(sides, ["unit", "cell"])
+
+
 def _large(routes: DataFrame, sets: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
-    """Units of elements that two groups or more hold, for nodes whose first units were too large for one tree.
+    """Links between groups, for nodes whose first units were too large for one tree; groups: node, root (the unit), group.
 
-    groups: node, group. Elements with the same nodes count once. Where an element has more nodes than a tree holds, its nodes are dealt to cells, by
-    a band of sizes and a hash, and each cell meets itself and those of its band and of the next one.
+    Only nodes that share an element of their first ones with another group are left. Those of a first unit stay one unit where all of them, but for groups that
+    fill a cell, are few cells; else each element that two groups hold is a unit, and elements with the same nodes count once.
     """
     own = routes.join(groups, "node")
-    kept = own.groupBy("element").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.bit_xor(F.xxhash64("node")).alias("alike"), F.count("*").alias("n")).filter("least < most")
-    kept = kept.groupBy("alike", "n").agg(F.min("element").alias("unit")).select("unit")
-    rows = own.join(kept, F.col("element") == F.col("unit")).join(sets.select("node", "size", "tokens"), "node")
-    # sizes that link differ by no more than one band
-    band = F.floor(F.log("size") / F.log(F.lit(100 / min(rule.percent, 99))))
-    rows = rows.select("unit", "node", "group", "size", "tokens", band.alias("band"))
-    cells = rows.groupBy("unit", "band").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
-    whole = cells.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).selectExpr("unit", f"n <= {rule.chunk} AND tokens <= {rule.tokens} AS whole")
-    cells = cells.join(whole, "unit").selectExpr("unit", "band", f"IF(whole, 0, CAST(greatest(ceil(2 * n / {rule.chunk}), ceil(2 * tokens / {rule.tokens})) AS INT)) AS parts")
-    after = cells.selectExpr("unit", "band - 1 AS band", "parts AS after")
-    before = cells.selectExpr("unit", "band + 1 AS band", "parts AS before")
-    cells = cells.join(after, ["unit", "band"], "left").join(before, ["unit", "band"], "left")
-    rows = rows.join(cells, ["unit", "band"]).withColumn("part", F.expr("IF(parts = 0, 0, pmod(xxhash64(node), parts))"))
-    # (cells, side) of each meeting that a row takes part in; a cell is band:part
-    me = "concat(band, ':', part)"
-    within = f"transform(filter(sequence(0, parts - 1), k -> k <> part), k -> IF(part < k, struct(concat({me}, '+', k) AS cells, 0 AS side), struct(concat(band, ':', k, '+', part) AS cells, 1 AS side)))"
-    up = f"IF(after IS NULL, array(), transform(sequence(0, after - 1), k -> struct(concat({me}, '/', k) AS cells, 0 AS side)))"
-    down = "IF(before IS NULL, array(), transform(sequence(0, before - 1), k -> struct(concat(band - 1, ':', k, '/', part) AS cells, 1 AS side)))"
-    meets = F.expr(f"IF(parts = 0, array(struct('' AS cells, 0 AS side)), concat(array(struct({me} AS cells, 0 AS side)), {within}, {up}, {down}))")
-    return rows.withColumn("meets", F.explode(meets)).select("unit", "meets.cells", "meets.side", "node", "group", "tokens")
+    mixed = own.groupBy("element").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.bit_xor(F.xxhash64("node")).alias("alike"), F.count("*").alias("n")).filter("least < most")
+    mixed = stored(mixed.select("element", "alike", "n"), "join-mixed")
+    left = stored(own.join(mixed.select("element"), "element", "left_semi").select("node", "root", "group").distinct(), "join-left")
+    parts = left.groupBy("root", "group").agg(F.count("*").alias("n")).groupBy("root").agg(F.sum(F.expr(f"IF(n > {rule.chunk} DIV 2, 0, n)")).alias("n"))
+    few = stored(parts.selectExpr("root", f"n <= {rule.cells * rule.chunk} DIV 2 AS few"), "join-few")
+    left = left.join(few, "root")
+    by_root = left.filter("few").selectExpr("root AS unit", "node", "group")
+    kept = stored(mixed.groupBy("alike", "n").agg(F.min("element").alias("element")).select("element"), "join-kept")
+    by_element = own.join(kept, "element").join(left.filter("NOT few").select("node"), "node", "left_semi").selectExpr("element AS unit", "node", "group")
+    rows = stored(by_root.unionAll(by_element).join(sets.select("node", "size"), "node").select("unit", "node", "group", "size"), "join-rows")
+    return _by_trees(_meetings(rows, rule).join(sets.select("node", "tokens"), "node"), rule)
 
 
 def _all_links(able: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
@@ -459,7 +479,8 @@ def _all_links(able: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     routes = _routes(sets, rule)
     released(rows.sparkSession)
 
-    ends = routes.groupBy("element").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("element", "b")
+    # stored, so that Spark can split an element of many nodes
+    ends = stored(routes.groupBy("element").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("element", "b"), "join-ends")
     roots = components(routes.join(ends, "element").selectExpr("node AS a", "b"))
     placed = routes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     units = placed.join(sets, "node")
@@ -471,16 +492,16 @@ def _all_links(able: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
         large = units.filter("NOT fits")
         keyed = large.select("node", "size", "tokens", F.posexplode("keys").alias("k", "unit"))
         parts = large.select("size", F.posexplode("keys").alias("k", "unit")).groupBy("k", "unit").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
-        parts = parts.filter("n > 1").selectExpr("k", "unit", f"CAST(greatest(ceil(n / {rule.chunk}), ceil(all / {rule.tokens})) AS INT) AS parts")
+        parts = stored(parts.filter("n > 1").selectExpr("k", "unit", f"CAST(greatest(ceil(n / {rule.chunk}), ceil(all / {rule.tokens})) AS INT) AS parts"), "join-parts")
         laid = laid.unionAll(keyed.join(parts, ["k", "unit"]).selectExpr("unit", "concat(k, ':', pmod(xxhash64(node, k), parts)) AS cells", "0 AS side", "node", "node AS group", "tokens"))
     links = stored(_by_trees(laid, rule), "join-links")
     if any_large:
-        inside = placed.join(fits.filter("NOT fits"), "root").select("node")
-        own = components(links)
-        groups = inside.join(own, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
-        links = links.unionAll(stored(_by_trees(_large(routes, sets, groups, rule), rule), "join-large-links"))
+        inside = placed.join(fits.filter("NOT fits"), "root").select("node", "root")
+        own = components(links).withColumnRenamed("root", "group")
+        groups = stored(inside.join(own, "node", "left").select("node", "root", F.coalesce("group", "node").alias("group")), "join-groups")
+        links = links.unionAll(stored(_large(routes, sets, groups, rule), "join-large-links"))
     links = stored(links, "join-all-links")
-    for done in (sets, routes, fits):
+    for done in (sets, routes, fits, ends):
         drop_stored(done)
     return links
 

@@ -54,7 +54,7 @@ def made():
     return list(enumerate(rows, 100)) + [(None, "a b c"), (None, "alone here"), (100, rows[0]), (100, rows[40])]
 
 
-@pytest.mark.parametrize("rule", [J.Rule(), J.Rule(chunk=3), J.Rule(chunk=20, tokens=900)])
+@pytest.mark.parametrize("rule", [J.Rule(), J.Rule(chunk=3), J.Rule(chunk=3, cells=0), J.Rule(chunk=8, tokens=900)])
 def test_groups(spark, rule):
     rows = made()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, size string").repartition(5)
