@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words_column
+from .common import drop_stored, stored, words_column
 
 #: Rates, each worse the greater; of the statistics below.
 RATES = {
@@ -154,6 +154,8 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col:
         ))
     tests = counts.groupBy("stratum").agg(*(F.first(f"ladder_{r}").alias(f"ladder_{r}") for r in RATES), F.array(*per).alias("levels"))
     tests = stored(tests, "quality-tests")  # a row for each stratum
+    drop_stored(rows)
+    drop_stored(ladder)
     strata = max(1, tests.count())
     p = binomial_tail("x.k", "x.n", risk.alpha)
     tests = tests.withColumn("levels", F.expr(f"transform(levels, x -> named_struct('level', x.level, 'n', x.n, 'k', x.k, 'errors', x.errors, 'p', {p}))"))
@@ -191,5 +193,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: s
     own = docs.select(F.col(id_col).alias("__q_id"), F.col(stratum_col).alias("__q_stratum"), F.col(text_col).alias("__q_text"))
     stats = stored(with_stats(own, "__q_text").drop("__q_text"), "quality-stats")
     cuts = stored(thresholds(stats, labels, risk, "__q_id", "__q_stratum"), "quality-cuts")
+    drop_stored(stats)
     # the statistics are found again beside the texts: that takes less than to write or shuffle all texts
     return judged(with_stats(docs, text_col, "__q_"), cuts, stratum_col, "__q_").filter("__q_kept").select(*docs.columns)
