@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
@@ -33,16 +37,42 @@ def pileup(obs: DataFrame) -> DataFrame:
     return obs.groupBy("chrom", "position").agg(*counts, *sums, F.count("*").alias("depth"))
 
 
-def pileup_f32(obs: DataFrame, order: str = "ord") -> DataFrame:
-    """The pileup with qualities added as 32-bit floats of q / 93 in the order of a column of obs, one position's observations at a time."""
+def _ordered_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by chrom and position, in order: of each position the counts, the sums as 32-bit floats added one by one, and the depth."""
+    names = ["chrom", "position", *COUNTS, *QUALITIES, "depth"]
+    kinds = [pa.string(), pa.int64(), *[pa.int64()] * 4, *[pa.float32()] * 4, pa.int64()]
+    key, counts, sums, depth = None, [0] * 4, [np.float32(0)] * 4, 0
+    for batch in batches:
+        chrom, position, base = (batch.column(k).to_pylist() if k != 1 else batch.column(k).to_numpy() for k in range(3))
+        quality = batch.column(3).to_numpy().astype(np.float32) / np.float32(93)
+        code, chroms = np.array([BASES.find(b) for b in base], np.int8), np.array(chrom, object)
+        starts = np.flatnonzero(np.append(True, (position[1:] != position[:-1]) | (chroms[1:] != chroms[:-1]))[: len(position)])
+        out = []
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(position)], strict=True):
+            if key != (now := (chrom[at], int(position[at]))):
+                if key is not None:
+                    out.append((*key, *counts, *sums, depth))
+                key, counts, sums, depth = now, [0] * 4, [np.float32(0)] * 4, 0
+            depth += end - at
+            for k in range(4):
+                own = quality[at:end][code[at:end] == k]
+                if len(own):
+                    counts[k] += len(own)
+                    sums[k] = np.add.accumulate(np.append(sums[k], own), dtype=np.float32)[-1]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+    last = [] if key is None else [(*key, *counts, *sums, depth)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in last], t) for k, t in enumerate(kinds)], names)
 
-    def total(base: str) -> Column:
-        values = F.sort_array(F.collect_list(F.when(F.col("base") == base, F.struct(F.col(order), "quality"))))
-        term = lambda x: (x["quality"].cast("float") / F.lit(93.0).cast("float")).cast("float")
-        return F.aggregate(values, F.lit(0.0).cast("float"), lambda a, x: (a + term(x)).cast("float"))
 
-    counts = [F.count_if(F.col("base") == b).alias(n) for b, n in zip(BASES, COUNTS, strict=True)]
-    return obs.groupBy("chrom", "position").agg(*counts, *(total(b).alias(q) for b, q in zip(BASES, QUALITIES, strict=True)), F.count("*").alias("depth"))
+def pileup_f32(obs: DataFrame, order: str = "ord") -> DataFrame:
+    """The pileup with qualities added as 32-bit floats of q / 93 in the order of a column of obs, ties by quality.
+
+    Observations are sorted and added as they stream by, so memory doesn't grow with the depth; those of one position are added by one task, as their order asks.
+    """
+    rows = obs.select("chrom", F.col("position").cast("long").alias("position"), "base", F.col("quality").cast("int").alias("quality"), F.col(order).alias("__order"))
+    rows = rows.repartition("chrom", "position").sortWithinPartitions("chrom", "position", "__order", "quality").drop("__order")
+    columns = ["chrom string", "position long", *(f"{c} long" for c in COUNTS), *(f"{c} float" for c in QUALITIES), "depth long"]
+    return rows.mapInArrow(_ordered_sums, ", ".join(columns))
 
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
