@@ -72,19 +72,19 @@ def satisfies_bound(used="space_used", bound="space_bound") -> Column:
     return (F.col(used) if isinstance(used, str) else used) <= (F.col(bound) if isinstance(bound, str) else bound)
 
 
-def interfaces(summaries: DataFrame, key: str = "run_id") -> DataFrame:
-    """key, block_id, states_meet, heads_meet, overlaps (of each tape, whether the windows do), meets: each block against the next one.
+def interfaces(summaries: DataFrame, key: str = "run_id", kept: tuple[str, ...] = ()) -> DataFrame:
+    """key, block_id, states_meet, heads_meet, overlaps (of each tape, whether the windows do), meets: each block against the next one; kept names further columns of the former.
 
     summaries: key, block_id, entry_state, exit_state, entry_heads, exit_heads, windows (array of left, right). Blocks meet where state and
     heads go on; what one block leaves on a tape is what the next finds, so windows that overlap agree. Different numbers of tapes fail.
+    A run is a sequence of blocks, so it is one window, and summaries are read once.
     """
-    names = ("state", "heads")
-    right = summaries.select(key, (F.col("block_id") - 1).alias("block_id"), *(F.col(f"entry_{n}").alias(f"__{n}") for n in names), F.col("windows").alias("__windows"))
-    rows = summaries.select(key, "block_id", "exit_state", "exit_heads", "windows").join(right, [key, "block_id"])
-    same = F.size("exit_heads") == F.size("__heads")
-    heads = F.when(same, F.col("exit_heads") == F.col("__heads")).otherwise(F.raise_error("the blocks have different numbers of tapes"))
-    rows = rows.withColumns({"states_meet": F.col("exit_state") == F.col("__state"), "heads_meet": heads, "overlaps": F.zip_with("windows", "__windows", blocks.overlap)})
-    return rows.select(key, "block_id", "states_meet", "heads_meet", "overlaps", (F.col("states_meet") & F.col("heads_meet")).alias("meets"))
+    then = F.lead(F.struct("block_id", F.col("entry_state").alias("state"), F.col("entry_heads").alias("heads"), "windows")).over(Window.partitionBy(key).orderBy("block_id"))
+    rows = summaries.filter(F.col(key).isNotNull()).withColumn("__next", then).filter(F.col("__next.block_id") == F.col("block_id") + 1)
+    same = F.size("exit_heads") == F.size("__next.heads")
+    heads = F.when(same, F.col("exit_heads") == F.col("__next.heads")).otherwise(F.raise_error("the blocks have different numbers of tapes"))
+    rows = rows.withColumns({"states_meet": F.col("exit_state") == F.col("__next.state"), "heads_meet": heads, "overlaps": F.zip_with("windows", "__next.windows", blocks.overlap)})
+    return rows.select(key, "block_id", "states_meet", "heads_meet", "overlaps", (F.col("states_meet") & F.col("heads_meet")).alias("meets"), *kept)
 
 
 class Processor(ABC):

@@ -490,8 +490,8 @@ def block_interfaces(spark, d):
     """The right mover's blocks of seven steps, each against the next one."""
     runs = P.table(spark, d, "part").selectExpr("p_partkey AS run_id", "'right' AS machine", "repeat('1', p_size) AS input", "40L AS time")
     made = turing.block_summaries(runs, {"right": right_mover()}, 7)
-    found = evaluation.interfaces(made).filter("forall(overlaps, x -> x)")
-    return found.join(made.select("run_id", "block_id", F.col("exit_heads")[0].alias("head")), ["run_id", "block_id"]).select("run_id", "block_id", "states_meet", "heads_meet", "head", "meets")
+    found = evaluation.interfaces(made, kept=("exit_heads",)).filter("forall(overlaps, x -> x)")
+    return found.select("run_id", "block_id", "states_meet", "heads_meet", F.col("exit_heads")[0].alias("head"), "meets")
 
 
 @query("WITH u AS (SELECT p_partkey AS run_id, p_size, CAST(p_partkey % 90 + 1 AS BIGINT) AS n FROM part), b AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS b FROM u), t AS (SELECT *, (n + b - 1) // b AS blocks FROM b) SELECT run_id, p_size + 1 <= b * blocks AS accepted, n AS steps, b AS block_size, blocks, b + CAST(ceil(log2(blocks)) AS BIGINT) + 1 + blocks * 2 // 8 AS space_used, 2 * b AS space_bound, CAST(least(p_size, b * blocks) AS BIGINT) AS head FROM t")

@@ -31,6 +31,12 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of df dealt out evenly, for steps that cost much more than reading: a file of a few MB, or of one row group, is read by a task or two."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def numbered(df: DataFrame, order: list, column: str) -> DataFrame:
     """df with a dense number from 0 in a global order: sorted by ranges, numbered within partitions, and shifted by the
     counts of the partitions before. No window over all rows; the driver sees a count for each partition."""

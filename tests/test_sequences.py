@@ -495,6 +495,42 @@ def test_blocks_that_do_not_meet(spark):
         evaluation.interfaces(spark.createDataFrame([rows[0], (1, 2, 2, 2, [3], [5], [(3, 5)])], kind)).collect()
 
 
+def test_interfaces_read_their_runs_once_and_send_none(spark):
+    found = catalog.block_interfaces(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "BroadcastExchange" not in plan
+
+
+def test_runs_of_one_task_are_spread_and_equal_runs_agree(spark):
+    runs = spark.range(0, 300, 1, 1).selectExpr("id AS run_id", "IF(id % 7 = 0, 'none', 'right') AS machine", "repeat('1', id % 5) AS input", "id % 11 AS time")
+    want = {}
+    machine = catalog.right_mover()
+    for mode in ("full", "rolling"):
+        made = turing.simulate(runs, {"right": machine}, mode)
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        for r in made.collect():
+            if r.run_id % 7 == 0 or r.run_id % 11 == 0:
+                assert r.error
+                continue
+            want = turing.run(machine, "1" * (r.run_id % 5), r.run_id % 11, mode)
+            assert (r.accepted, r.heads, r.tapes, r.space_used) == (want["accepted"], want["heads"], want["tapes"], want["space_used"])
+
+
+def test_rolling_tapes_are_those_of_the_logs():
+    machine = turing.TuringMachine(1, "ab_", 8, 9)
+    for state in range(4):
+        for symbol in "ab_":
+            machine.add(state, ["_", symbol], (state * 3 + "ab_".index(symbol) + 1) % 4, ["ab_"["ab_".index(symbol) - state % 3]], ["S", "LRS"[(state + "ab_".index(symbol)) % 3]])
+    for time in range(1, 120):
+        got = turing.run(machine, "", time, "rolling")
+        config = turing.Configuration.initial(machine, "")
+        for k in range(got["blocks"]):
+            block = turing.simulate_block(machine, config, k + 1, got["block_size"])
+            assert block.steps == len(block.log)
+            config.tapes[1] = turing.replay(block.log, 1, block.entry_heads[1], "_")
+        assert (got["heads"], got["tapes"], got["state"]) == (config.heads, config.tapes, config.state)
+
+
 def test_block_summary_as_configuration():
     machine = catalog.right_mover()
     config = turing.Configuration.initial(machine, "111")
