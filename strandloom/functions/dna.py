@@ -49,42 +49,52 @@ def reverse_complement(seq) -> Column:
 def pack(seq) -> Column:
     """struct(words, len, nmask): 32 bases in each 64-bit word from the low bits up, and a bit for each N.
 
-    Fails at a symbol that is none of A, C, G, T, U, N. N is packed as 0.
+    Fails at a symbol that is none of A, C, G, T, U, N. N is packed as 0; null stays null.
     """
-    s = F.translate(F.upper(_c(seq)), "U", "T")
-    checked = F.when(s.rlike("^[ACGTN]*$"), s).otherwise(
-        F.raise_error(F.concat(F.lit("invalid base at position "), F.length(F.regexp_extract(s, "^[ACGTN]*", 0)).cast("string")))
-    )
+    def packed(s):
+        ok = s.rlike("^[ACGTN]*$")
+        message = F.concat(F.lit("invalid base at position "), F.length(F.regexp_extract(s, "^[ACGTN]*", 0)).cast("string"))
+        checked = F.when(ok | s.isNull(), s).otherwise(F.raise_error(message))
+        return F.when(s.isNotNull(), F.struct(_words(F.translate(checked, "ACGTN", "01230"), 2).alias("words"), F.length(s).alias("len"), _words(F.translate(checked, "ACGTN", "00001"), 1).alias("nmask")))
+
+    return _bound(F.translate(F.upper(_c(seq)), "U", "T"), packed)
+
+
+def _bound(value, f) -> Column:
+    """f of a value that has a name, so that it isn't written out, and found, again for each of its uses."""
+    return F.transform(F.array(value), f)[0]
 
-    def words(bits: int, value):
-        def word(k):
-            part = F.substring(checked, (k * (64 // bits) + 1).cast("int"), F.lit(64 // bits))
-            return F.aggregate(
-                F.sequence(F.lit(0), F.length(part) - 1),
-                F.lit(0).cast("long"),
-                lambda a, i: a.bitwiseOR(F.call_function("shiftleft", value(F.substring(part, i + 1, F.lit(1))), (i * bits).cast("int"))),
-            )
 
-        count = F.ceil(F.length(s) * bits / 64).cast("int")
-        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), word)).otherwise(F.array().cast("array<bigint>"))
+def _words(digits, bits: int) -> Column:
+    """Digits of so many bits as 64-bit words, the first digit lowest. A half word at a time goes through conv, as a whole one may exceed what it holds."""
+    half, base = 32 // bits, 1 << bits
 
-    code = lambda b: F.when(b == "N", F.lit(0)).otherwise(F.instr(F.lit("ACGT"), b) - 1).cast("long")
-    flag = lambda b: (b == "N").cast("long")
-    return F.struct(words(2, code).alias("words"), F.length(s).alias("len"), words(1, flag).alias("nmask"))
+    def words(d):
+        part = lambda at: F.coalesce(F.conv(F.reverse(F.substring(d, (at + 1).cast("int"), F.lit(half))), base, 10).cast("long"), F.lit(0).cast("long"))
+        word = lambda k: part(k * 2 * half).bitwiseOR(F.call_function("shiftleft", part(k * 2 * half + half), F.lit(32)))
+        count = F.ceil(F.length(d) / (2 * half)).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), word)).when(count == 0, F.array().cast("array<bigint>"))
+
+    return _bound(digits, words)
+
+
+def _digits(words, bits: int) -> Column:
+    """The digits of words, the inverse of _words; the last word's are filled up."""
+    half, base = 32 // bits, 1 << bits
+    part = lambda x: F.reverse(F.lpad(F.conv(x.cast("string"), 10, base), half, "0"))
+    return F.array_join(F.transform(words, lambda w: F.concat(part(w.bitwiseAND((1 << 32) - 1)), part(F.call_function("shiftrightunsigned", w, F.lit(32))))), "")
 
 
 def from_parts(words, length, nmask) -> Column:
     """A packed sequence of its parts; fails where the words can't hold so many bases."""
     w, n = _c(words), _c(length).cast("int")
     message = F.concat(F.lit("length "), n.cast("string"), F.lit(" exceeds the capacity of "), F.size(w).cast("string"), F.lit(" words"))
-    return F.struct(w.alias("words"), F.when(n <= F.size(w) * BASES_PER_WORD, n).otherwise(F.raise_error(message)).alias("len"), _c(nmask).alias("nmask"))
+    return F.struct(w.alias("words"), F.when(n.isNull() | (n <= F.size(w) * BASES_PER_WORD), n).otherwise(F.raise_error(message)).alias("len"), _c(nmask).alias("nmask"))
 
 
 def extend(packed, seq) -> Column:
     """A packed sequence with further bases behind it, by packing all of them anew; fails like pack, at the place in the whole. One base is a push."""
-    # each step is bound to a name, so that a chain of them isn't written out again for each of its uses
-    whole = F.transform(F.array(_c(packed)), lambda p: F.concat(unpack(p), _c(seq)))
-    return F.transform(whole, pack)[0]
+    return _bound(_c(packed), lambda p: pack(F.concat(unpack(p), _c(seq))))
 
 
 def packed_base(packed, index) -> Column:
@@ -96,9 +106,12 @@ def packed_base(packed, index) -> Column:
 
 
 def unpack(packed) -> Column:
-    p = _c(packed)
-    each = F.transform(F.sequence(F.lit(0), F.greatest(p["len"] - 1, F.lit(0))), lambda i: packed_base(p, i))
-    return F.when(p["len"] > 0, F.array_join(each, "")).otherwise(F.lit(""))
+    def text(p):
+        bases = F.substring(F.translate(_digits(p["words"], 2), "0123", "ACGT"), F.lit(1), p["len"])
+        masked = lambda m: F.array_join(F.zip_with(F.split(bases, ""), F.split(F.substring(_digits(m, 1), F.lit(1), p["len"]), ""), lambda b, n: F.when(n == "1", F.lit("N")).otherwise(b)), "")
+        return F.when(p["len"] > 0, F.when(F.exists(p["nmask"], lambda w: w != 0), masked(p["nmask"])).otherwise(bases)).when(p["len"] == 0, F.lit(""))
+
+    return _bound(_c(packed), text)
 
 
 def phred(qual) -> Column:

@@ -10,6 +10,7 @@ from strandloom.operators import evaluation, fm_index, pileup, turing, variants
 from strandloom.operators.plugins import Engine
 from strandloom.plans import projection as P
 from strandloom.sources import alignments, sequences, vcf
+from strandloom.storage import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -512,7 +513,7 @@ def tape_bounds(spark, d):
 @query(f"SELECT p_partkey, translate(seq, 'U', 'T') || 'NGATTACA' AS unpacked, CAST(length(seq) + 8 AS INT) AS n, translate(seq, 'U', 'T') AS rebuilt FROM {_NAMES}")
 def packed_parts(spark, d):
     """Packed sequences extended, and made of their parts."""
-    rows = _names(spark, d).withColumn("packed", dna.pack("seq"))
+    rows = spread(_names(spark, d)).withColumn("packed", dna.pack("seq"))
     rows = rows.withColumn("more", dna.extend(dna.extend("packed", F.lit("n")), F.lit("GATTACA"))).withColumn("again", dna.from_parts("packed.words", "packed.len", "packed.nmask"))
     return rows.select("p_partkey", dna.unpack("more").alias("unpacked"), F.col("more.len").alias("n"), dna.unpack("again").alias("rebuilt"))
 

@@ -551,6 +551,24 @@ def test_packed_parts(spark):
         row.select(dna.pack(F.lit("ACGT" * 16)).alias("p")).select(dna.extend("p", F.lit("AX"))).collect()
 
 
+def test_packing_finds_its_text_once(spark):
+    import time
+
+    texts = ["ACGTNNGTCA" * 400, "T" * 4000, "N" * 65, "G" * 31 + "T", "", "acgun" * 13, None]
+    rows = spark.createDataFrame([(x,) for x in texts * 4], "s string").repartition(1)
+    began = time.time()
+    found = rows.select("s", dna.unpack(dna.extend(dna.pack("s"), F.lit("nTu"))).alias("u"), dna.pack("s").alias("p")).collect()
+    assert time.time() - began < 20  # each base used to match the whole text anew
+    for r in found:
+        want = r.s and r.s.upper().replace("U", "T")
+        assert r.u == (None if want is None else want + "NTT")
+        if r.s:
+            word = lambda bits, digit, k: sum(digit(c) << (i * bits) for i, c in enumerate(want[k * (64 // bits) : (k + 1) * (64 // bits)]))
+            unsigned = lambda ws: [w % (1 << 64) for w in ws]
+            assert unsigned(r.p.words) == [word(2, lambda c: max("ACGT".find(c), 0), k) for k in range(-(-len(want) // 32))]
+            assert unsigned(r.p.nmask) == [word(1, lambda c: int(c == "N"), k) for k in range(-(-len(want) // 64))]
+
+
 def test_no_shared_folder():
     from types import SimpleNamespace
 
