@@ -14,6 +14,8 @@ from strandloom.functions import dna
 BASES = "ACGT"
 COUNTS = [f"n_{b.lower()}" for b in BASES]
 QUALITIES = [f"q_{b.lower()}" for b in BASES]
+#: Values that are added at once.
+MOST = 1 << 20
 
 
 def observations(reads: DataFrame, region: tuple[int, int] | None = None) -> DataFrame:
@@ -30,13 +32,27 @@ def observations(reads: DataFrame, region: tuple[int, int] | None = None) -> Dat
     return out.filter((F.col("position") >= region[0]) & (F.col("position") < region[1])) if region else out
 
 
+def collapsed(obs: DataFrame, order: str = "quality") -> DataFrame:
+    """chrom, position, base, quality, a column of obs that orders them, and n: how many observations are equal in all of these. A deep pileup becomes so many rows as it has qualities."""
+    return obs.groupBy(*dict.fromkeys(("chrom", "position", "base", "quality", order))).agg(F.count("*").alias("n"))
+
+
 def pileup(obs: DataFrame) -> DataFrame:
-    """chrom, position, n_a..n_t, q_a..q_t, depth. Qualities are summed as integers, so the order of reads and partitions never shows."""
+    """chrom, position, n_a..n_t, q_a..q_t, depth. Qualities are summed as integers, so the order of reads and partitions never shows. A column n of obs tells for how many a row stands."""
+    if "n" in obs.columns:
+        own = lambda b, x: F.sum(F.when(F.col("base") == b, x).otherwise(0)).cast("long")
+        counts = [own(b, F.col("n")).alias(c) for b, c in zip(BASES, COUNTS, strict=True)]
+        sums = [own(b, F.col("quality") * F.col("n")).alias(q) for b, q in zip(BASES, QUALITIES, strict=True)]
+        return obs.groupBy("chrom", "position").agg(*counts, *sums, F.sum("n").alias("depth"))
     counts = [F.count_if(F.col("base") == b).alias(n) for b, n in zip(BASES, COUNTS, strict=True)]
     sums = [F.sum(F.when(F.col("base") == b, F.col("quality")).otherwise(0)).cast("long").alias(q) for b, q in zip(BASES, QUALITIES, strict=True)]
     return obs.groupBy("chrom", "position").agg(*counts, *sums, F.count("*").alias("depth"))
 
 
+def _added(total: np.float32, values: np.ndarray) -> np.float32:
+    return np.add.accumulate(np.append(total, values), dtype=np.float32)[-1] if len(values) else total
+
+
 def _ordered_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by chrom and position, in order: of each position the counts, the sums as 32-bit floats added one by one, and the depth."""
     names = ["chrom", "position", *COUNTS, *QUALITIES, "depth"]
@@ -44,7 +60,7 @@ def _ordered_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     key, counts, sums, depth = None, [0] * 4, [np.float32(0)] * 4, 0
     for batch in batches:
         chrom, position, base = (batch.column(k).to_pylist() if k != 1 else batch.column(k).to_numpy() for k in range(3))
-        quality = batch.column(3).to_numpy().astype(np.float32) / np.float32(93)
+        quality, many = batch.column(3).to_numpy().astype(np.float32) / np.float32(93), batch.column(4).to_numpy()
         code, chroms = np.array([BASES.find(b) for b in base], np.int8), np.array(chrom, object)
         starts = np.flatnonzero(np.append(True, (position[1:] != position[:-1]) | (chroms[1:] != chroms[:-1]))[: len(position)])
         out = []
@@ -53,12 +69,17 @@ def _ordered_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if key is not None:
                     out.append((*key, *counts, *sums, depth))
                 key, counts, sums, depth = now, [0] * 4, [np.float32(0)] * 4, 0
-            depth += end - at
+            depth += int(many[at:end].sum())
             for k in range(4):
-                own = quality[at:end][code[at:end] == k]
-                if len(own):
-                    counts[k] += len(own)
-                    sums[k] = np.add.accumulate(np.append(sums[k], own), dtype=np.float32)[-1]
+                at_base = code[at:end] == k
+                own, times = quality[at:end][at_base], many[at:end][at_base]
+                counts[k] += int(times.sum())
+                if int(times.sum()) <= MOST:
+                    sums[k] = _added(sums[k], np.repeat(own, times))
+                    continue
+                for q, n in zip(own, times.tolist(), strict=True):
+                    for done in range(0, n, MOST):
+                        sums[k] = _added(sums[k], np.repeat(q, min(MOST, n - done)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
     last = [] if key is None else [(*key, *counts, *sums, depth)]
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in last], t) for k, t in enumerate(kinds)], names)
@@ -67,9 +88,9 @@ def _ordered_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def pileup_f32(obs: DataFrame, order: str = "ord") -> DataFrame:
     """The pileup with qualities added as 32-bit floats of q / 93 in the order of a column of obs, ties by quality.
 
-    Observations are sorted and added as they stream by, so memory doesn't grow with the depth; those of one position are added by one task, as their order asks.
+    A column n of obs (see collapsed) tells how many times a row is added. Observations are sorted and added as they stream by, so memory doesn't grow with the depth; those of one position are added by one task, as their order asks.
     """
-    rows = obs.select("chrom", F.col("position").cast("long").alias("position"), "base", F.col("quality").cast("int").alias("quality"), F.col(order).alias("__order"))
+    rows = obs.select("chrom", F.col("position").cast("long").alias("position"), "base", F.col("quality").cast("int").alias("quality"), F.col(order).alias("__order"), (F.col("n").cast("long") if "n" in obs.columns else F.lit(1).cast("long")).alias("n"))
     rows = rows.repartition("chrom", "position").sortWithinPartitions("chrom", "position", "__order", "quality").drop("__order")
     columns = ["chrom string", "position long", *(f"{c} long" for c in COUNTS), *(f"{c} float" for c in QUALITIES), "depth long"]
     return rows.mapInArrow(_ordered_sums, ", ".join(columns))

@@ -10,7 +10,7 @@ from strandloom.operators import evaluation, fm_index, pileup, turing, variants
 from strandloom.operators.plugins import Engine
 from strandloom.plans import projection as P
 from strandloom.sources import alignments, sequences, vcf
-from strandloom.storage import spread
+from strandloom.storage import spread, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -404,9 +404,9 @@ def interface_check(spark, d):
 @query(f"WITH {P.OBS_SQL} SELECT position, CAST(count(*) AS BIGINT) AS depth, abs(sum(quality / 93e0) - sum(quality) / 93e0) <= (count(*) + 2) * sum(quality) / 93e0 / 16777216 AS near FROM obs GROUP BY ALL")
 def pileup_ordered_floats_whole(spark, d):
     """Of all observations. near holds to the error that so many additions of 32-bit floats can make, as that grows with the depth."""
-    obs = P.observations(spark, d)
+    obs = stored(pileup.collapsed(P.observations(spark, d)), "collapsed")
     total, exact = (sum((F.col(q) for q in pileup.QUALITIES), F.lit(0.0)) for _ in range(2))
-    floats = pileup.pileup_f32(obs.withColumn("ord", F.col("quality"))).select("position", "depth", total.alias("total"))
+    floats = pileup.pileup_f32(obs, "quality").select("position", "depth", total.alias("total"))
     whole = pileup.pileup(obs).select("position", (exact / 93).alias("exact"))
     near = F.abs(F.col("total") - F.col("exact")) <= (F.col("depth") + 2) * F.col("exact") / (1 << 24)
     return floats.join(whole, "position").select("position", "depth", near.alias("near"))

@@ -115,6 +115,26 @@ def test_ordered_floats_of_all_reads(spark):
             assert r[f"q_{base.lower()}"] == want
 
 
+def test_collapsed_observations_give_the_same_pileups(spark, monkeypatch):
+    obs = spark.range(4000).selectExpr("'chr1' AS chrom", "id % 3 AS position", "substr('ACGTN', CAST(id * id % 5 + 1 AS INT), 1) AS base", "CAST(id * 7 % 11 AS INT) AS quality", "id * 3 % 4 AS ord")
+    few = pileup.collapsed(obs, "ord")
+    assert few.count() < 700 and few.agg(F.sum("n")).first()[0] == 4000
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(pileup.pileup(few)) == rows(pileup.pileup(obs)) and rows(pileup.pileup_f32(few)) == rows(pileup.pileup_f32(obs))
+    import numpy as np
+    import pyarrow as pa
+
+    made = {}
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(pileup, "MOST", most)
+        batch = pa.RecordBatch.from_arrays([pa.array(["chr1"] * 2), pa.array([0, 0], pa.int64()), pa.array(["A", "A"]), pa.array([10, 41], pa.int32()), pa.array([50, 60], pa.int64())], ["chrom", "position", "base", "quality", "n"])
+        made[most] = [b.to_pylist() for b in pileup._ordered_sums(iter([batch]))]
+    want = np.float32(0)
+    for q in [10] * 50 + [41] * 60:
+        want = want + np.float32(q) / np.float32(93)
+    assert made[7] == made[1 << 20] and made[7][-1][0]["q_a"] == want and made[7][-1][0]["depth"] == 110
+
+
 def test_overlaps(spark):
     rows = reads(spark, [(0, "A" * 3000), (1023, "AA"), (5000, "A"), (10, "")])
     regions = spark.createDataFrame([("chr1", 0, 1024), ("chr1", 1024, 4096), ("chr1", 5001, 6000), ("chr2", 0, 9999)], "chrom string, region_start int, region_end int")
